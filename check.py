@@ -36,7 +36,7 @@ def norm(df: pd.DataFrame) -> list[tuple]:
 
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    pats = sys.argv[2:]
+    pats = [a for a in sys.argv[2:] if a != "--skip-slow"]
     entry = importlib.import_module("__spark_entry__")
     queries, oracle = entry.queries(), entry.oracle_sql()
     spark = local_session(8)

@@ -1,5 +1,5 @@
 """Every oracle by query name."""
 
-from . import sql_alerts
+from . import sql_alerts, sql_metrics
 
-SQL = {**sql_alerts.SQL}
+SQL = {**sql_alerts.SQL, **sql_metrics.SQL}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import alert_score, score_level
 from ..params import DAY, DETECTORS, HOUR, MULE_ROLES, PRIMARY, R20, SPLIT, Rules, Split
-from .detectors import hot_accounts, primary_firings
+from ..session import cut
+from .detectors import baselines, daily_totals, firings, hot_accounts, window_sums, with_pair_history
 from .running import global_index, hot_keys, running, with_segment
 
 SEV_RANK = "CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
@@ -172,22 +173,29 @@ def model_only_alerts(payments: DataFrame, rule_alerts: DataFrame, rules: Rules
     )
 
 
+def primary_stage(payments: DataFrame, accounts: DataFrame, rules: Rules, split: Split) -> tuple[DataFrame, DataFrame]:
+    """(judged stream, primary alerts). Firings and alerts are far smaller than the payments and are read several times,
+    so both are written once instead of being derived again by every reader."""
+    hot = hot_accounts(payments, split)
+    paired = with_pair_history(payments, split)
+    fires = cut(firings(window_sums(paired, hot, split), baselines(daily_totals(payments), rules), accounts, rules))
+    j = judged(paired, fires, rules, hot, split)
+    return j, cut(primary_alerts(j).select(*ALERT_COLUMNS))
+
+
 def alert_table(payments: DataFrame, accounts: DataFrame, rules: Rules = R20, split: Split = SPLIT) -> DataFrame:
     """All alerts of an alert-only replay."""
-    paired, fires = primary_firings(payments, accounts, rules, split)
-    primary = primary_alerts(judged(paired, fires, rules, hot_accounts(payments, split), split)).select(*ALERT_COLUMNS)
+    _, primary = primary_stage(payments, accounts, rules, split)
     ruled = primary
     if rules.hop_rule:
-        ruled = primary.unionByName(hop_alerts(payments, accounts, primary, rules, split).select(*ALERT_COLUMNS))
+        ruled = cut(primary.unionByName(hop_alerts(payments, accounts, primary, rules, split).select(*ALERT_COLUMNS)))
     return ruled.unionByName(model_only_alerts(payments, ruled, rules).select(*ALERT_COLUMNS))
 
 
 def evidence_table(payments: DataFrame, accounts: DataFrame, rules: Rules = R20, split: Split = SPLIT) -> DataFrame:
     """(detector, account, row): every payment an alert rests on."""
-    paired, fires = primary_firings(payments, accounts, rules, split)
-    j = judged(paired, fires, rules, hot_accounts(payments, split), split)
-    primary = primary_alerts(j).select(*ALERT_COLUMNS)
-    hop = hop_alerts(payments, accounts, primary, rules, split).select(*ALERT_COLUMNS)
+    j, primary = primary_stage(payments, accounts, rules, split)
+    hop = cut(hop_alerts(payments, accounts, primary, rules, split).select(*ALERT_COLUMNS))
     hits = hop_hits(payments, primary).join(hop.selectExpr("account_id AS to_id", "updated_us", "updated_row"), "to_id")
     hop_rows = hits.where("named_struct('a', act_us, 'b', act_row) <= named_struct('a', updated_us, 'b', updated_row)")
     ruled = primary.unionByName(hop)

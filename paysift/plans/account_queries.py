@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import alerts as A
 from ..operators import detectors as D
 from ..params import R20, R21, R22, Rules
+from ..session import cut
 from . import views as V
 
 FIRING = ("account_id", "t_us", "row", "w_us", "severity", "base_score", "total_p", "out_p", "people", "hits", "bar_p")
@@ -39,6 +40,17 @@ def alert_table(spark: SparkSession, sf: str, rules: Rules = R20) -> DataFrame:
     return A.alert_table(V.payments(spark, sf), V.accounts(spark, sf), rules)
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored_alerts(spark: SparkSession, sf: str, rules: Rules = R20) -> DataFrame:
+    """The alert table as later queries read it: written once per session, data folder and rule version."""
+    key = (spark.sparkContext.applicationId, sf, repr(rules))
+    if key not in _STORED:
+        _STORED[key] = cut(alert_table(spark, sf, rules))
+    return _STORED[key]
+
+
 def _alerts(rules: Rules):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return alert_table(spark, sf, rules).select(*OUT, F.round("gnn_max", 6).alias("gnn_max"))
