@@ -1,5 +1,5 @@
 """Every oracle by query name."""
 
-from . import sql_alerts, sql_metrics
+from . import sql_alerts, sql_merchant, sql_metrics
 
-SQL = {**sql_alerts.SQL, **sql_metrics.SQL}
+SQL = {**sql_alerts.SQL, **sql_metrics.SQL, **sql_merchant.SQL}
