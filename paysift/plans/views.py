@@ -165,7 +165,7 @@ def directorships(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
     k, d = F.col("s_suppkey"), F.col("d")
     return (
-        s.select(k, F.explode(F.sequence(F.lit(0), F.lit(59))).cast("bigint").alias("d"))
+        s.select(k, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint"))).alias("d"))
         .where((k * 7 + d) % 20 == 0)
         .select(
             cin_of(k).alias("cin"),
