@@ -1,5 +1,7 @@
 """Every registered query by name."""
 
-from . import account_queries, merchant_queries, metric_queries, profile_queries, registry_queries
+from . import account_queries, graph_queries, merchant_queries, metric_queries, profile_queries, registry_queries
 
-QUERIES = {**account_queries.QUERIES, **metric_queries.QUERIES, **merchant_queries.QUERIES, **profile_queries.QUERIES, **registry_queries.QUERIES}
+QUERIES = {
+    **account_queries.QUERIES, **metric_queries.QUERIES, **merchant_queries.QUERIES, **profile_queries.QUERIES, **registry_queries.QUERIES, **graph_queries.QUERIES,
+}
