@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_day
 from ..params import DAY, HOUR, R20, SPLIT, Rules, Split
+from ..session import prepare
 from .running import SEG, hot_keys, running, with_segment
 
 ORDER = ("t_us", "ord", "row", "side")
@@ -126,6 +127,7 @@ def firings(sums: DataFrame, base: DataFrame, accounts: DataFrame, rules: Rules
 
     A pair is new once, so new-payer transfers and distinct new payers are the same number.
     """
+    prepare(sums.sparkSession)
     r, idx = rules, range(len(rules.pass_windows))
     moved = " OR ".join(f"(outs_{i} >= 2 AND payees_{i} >= 2 AND out_{i} >= {r.pass_ratio}D * in_{i})" for i in idx)
     # cheap necessary conditions first, so the baseline and kind joins see few rows

@@ -58,4 +58,4 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
