@@ -17,10 +17,16 @@ from .running import SEG, hot_keys, running, with_segment
 ORDER = ("t_us", "ord", "row", "side")
 
 
-def with_pair_history(payments: DataFrame, split: Split = SPLIT) -> DataFrame:
-    """Adds new_payee and the time of the pair's previous payment (and previous just-under-cap P2P payment)."""
+def hot_pairs(payments: DataFrame, split: Split = SPLIT) -> DataFrame | None:
+    return hot_keys(payments, ["from_id", "to_id"], split)
+
+
+def with_pair_history(payments: DataFrame, split: Split = SPLIT, hot: DataFrame | None = None, measured: bool = False) -> DataFrame:
+    """Adds new_payee and the time of the pair's previous payment (and previous just-under-cap P2P payment).
+
+    With `measured` the hot pairs are those given (they may come from a larger table)."""
     keys = ["from_id", "to_id"]
-    seg = with_segment(payments, keys, hot_keys(payments, keys, split), split=split)
+    seg = with_segment(payments, keys, hot if measured else hot_pairs(payments, split), split=split)
     near = F.when(F.col("near") & (F.col("channel") == "P2P"), F.col("t_us"))
     h = running(seg, keys, ["t_us", "row"], maxes={"prev_t": F.col("t_us"), "prev_near_t": near}, include_current=False)
     return h.drop(SEG).withColumn("new_payee", F.col("prev_t").isNull())
