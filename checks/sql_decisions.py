@@ -1,7 +1,7 @@
 """DuckDB oracle text for cases, audit chains and investigator tools."""
 
 from .sql_metrics import A, P
-from .sql_profiles import ACTIONS, ORD
+from .sql_profiles import ACTIONS, ORD, ROUTE
 
 CAN = "run_id || '|' || entry_id || '|' || at_us || '|~|' || action || '|' || actor || '|analyst|' || replace(note, '|', '||') || '|~|' || account_id || '|~|~'"
 ENTRIES = """en AS (SELECT 'run-' || user_id AS run_id, event_id AS entry_id, epoch_us(ts) AS at_us, event_type AS action, 'analyst-' || user_id AS actor, props AS note, 'A' || user_id AS account_id FROM events)"""
@@ -20,7 +20,16 @@ rs AS (SELECT run_id, entry_id, at_us, CASE WHEN before IS NOT NULL AND before <
 CASES = f"""fi AS (SELECT row_number() OVER (ORDER BY at_us, account_id, {ORD}) AS event_no, account_id, at_us FROM ac WHERE note <> '' AND action IN ('escalate','freeze')),
 adj AS (SELECT i.event_no AS i, j.event_no AS j FROM fi i JOIN fi j ON j.event_no < i.event_no WHERE i.account_id = j.account_id OR EXISTS (SELECT 1 FROM pay p WHERE p.t_us <= i.at_us AND ((p.from_id = i.account_id AND p.to_id = j.account_id) OR (p.to_id = i.account_id AND p.from_id = j.account_id)))),
 rc(i, j) AS (SELECT i, j FROM adj UNION SELECT rc.i, a.j FROM rc JOIN adj a ON a.i = rc.j)"""
+H = 3_600_000_000
+LIFE = f"""rt AS ({ROUTE.format('alerts')}), at0 AS (SELECT account_id, max(created_us) AS at_us FROM alerts WHERE status <> 'superseded' GROUP BY 1),
+r AS (SELECT account_id, level, at_us, at_us + ([1,24,72])[level] * {H} AS log_end, CAST(substr(account_id, 2) AS BIGINT) AS n FROM rt JOIN at0 USING (account_id) WHERE level > 0),
+e AS (SELECT *, at_us + (n % 5 + 1) * {H} AS ap, CASE WHEN n % 7 < 5 THEN at_us + (n % 40 + 2) * {H} END AS dec FROM r),
+c AS (SELECT account_id, log_end AS t, 'restriction_expired' AS how FROM r UNION ALL SELECT account_id, at_us + 3 * {H}, 'frozen' FROM r WHERE n % 11 = 4 AND at_us + 3 * {H} < log_end
+  UNION ALL SELECT account_id, CASE WHEN dec IS NULL OR dec > ap + 24 * {H} THEN ((ap + 24 * {H} + {H} - 1) // {H}) * {H} ELSE dec END, CASE WHEN dec IS NULL OR dec > ap + 24 * {H} THEN 'appeal_sla_release' ELSE 'cleared' END
+    FROM e WHERE n % 3 < 2 AND ap < log_end AND (dec IS NULL OR dec > ap + 24 * {H} OR n % 2 = 0))"""
 SQL = {
+    "restriction_lifecycle": A("r2.0", LIFE) + "SELECT account_id, level, at_us, min((t, how))[1] AS ended_us, min((t, how))[2] AS how FROM r JOIN c USING (account_id) GROUP BY 1, 2, 3",
+    "score_table_sink": P() + "SELECT is_fraud, count(*) AS n, round(max(score), 6) AS top, 'm1' AS model_id, 5 AS bucket_s, 259200 AS window_s, (SELECT count(*) FROM pay) AS edges FROM pay GROUP BY 1",
     "cases": A("r2.0", ACTIONS, CASES).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT event_no, account_id, least(event_no, coalesce((SELECT min(j) FROM rc WHERE i = event_no), event_no)) AS case_event FROM fi",
     "audit_chain_heads": f"WITH RECURSIVE {ENTRIES}, {chain('true')} SELECT run_id, arg_max(hash, k) AS head, count(*) AS entries FROM ch GROUP BY 1",
     "audit_chain_check": f"""WITH RECURSIVE {ENTRIES}, {chain('entry_id >= 20')}, {CHECK} SELECT e.run_id, b.entry_id IS NULL AS ok, coalesce(n, 0) AS entries, coalesce(b.entry_id, -1) AS first_bad_entry, coalesce(b.why, '') AS reason, u AS unchained

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from ..operators import models as Md
 from ..operators import replay as Rp
 from ..operators.running import global_index
 from ..params import DAY, HOUR, Rules
-from ..session import cut
+from ..session import checkpoint_dir, cut
+from ..sources import files
 from . import graph_queries, profile_queries
 from . import views as V
+from .account_queries import stored_alerts
 
 QUERIES = {}
 
@@ -134,3 +138,26 @@ def tool_watch(spark, sf):
 def tool_score(spark, sf):
     legs = graph_queries.model_edges(spark, sf).orderBy(F.col("t_us").desc()).limit(5).select((-F.col("row") - 1).alias("row"), "from_id", "to_id", "features")
     return _tools(spark, sf).score_transfers(legs)
+
+
+@query("restriction_lifecycle")
+def lifecycle(spark, sf):
+    """Restrictions as the router would set them on the alert table, ended by expiry, appeals and freezes."""
+    al = stored_alerts(spark, sf)
+    at = al.where("status <> 'superseded'").groupBy("account_id").agg(F.max("created_us").alias("at_us"))
+    n = F.substring("account_id", 2, 10).cast("bigint")
+    hours = F.element_at(F.array(F.lit(1), F.lit(24), F.lit(72)), F.col("level"))
+    r = A.route(al).where("level > 0").join(at, "account_id").select("account_id", "level", "at_us", (F.col("at_us") + hours * HOUR).alias("log_end_us"))
+    ap = r.where(n % 3 < 2).select("account_id", (F.col("at_us") + (n % 5 + 1) * HOUR).alias("at_us"), F.when(n % 2 == 0, "release").otherwise("uphold").alias("decision"), F.when(n % 7 < 5, F.col("at_us") + (n % 40 + 2) * HOUR).alias("decided_us"))
+    fr = r.where(n % 11 == 4).select("account_id", (F.col("at_us") + 3 * HOUR).alias("at_us"))
+    return Rp.lifecycle(r, ap, fr)
+
+
+@query("score_table_sink")
+def score_sink(spark, sf):
+    """Scores written with their metadata and joined back by payment row."""
+    folder = f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}"
+    p = V.payments(spark, sf)
+    files.write_scores(p.select("row", "score"), folder, "m1", 5, 72 * 3600)
+    s, meta = files.read_scores(spark, folder)
+    return p.select("row", "is_fraud").join(s, "row").groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("top")).crossJoin(F.broadcast(meta))  # one metadata row

@@ -135,3 +135,15 @@ def labelled_graph(features: DataFrame, classes: DataFrame, edges: DataFrame) ->
     ids = features.select("id")
     known = edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     return nodes, known
+
+
+def write_scores(scores: DataFrame, folder: str, model_id: str, bucket_s: int, window_s: int) -> None:
+    """Per-edge scores keyed by payment row, with one metadata record next to them."""
+    scores.select("row", "score").write.mode("overwrite").parquet(f"{folder}/scores")
+    meta = scores.agg(F.lit(model_id).alias("model_id"), F.lit(bucket_s).alias("bucket_s"), F.lit(window_s).alias("window_s"), F.count(F.lit(1)).alias("edges"))
+    meta.write.mode("overwrite").parquet(f"{folder}/meta")
+
+
+def read_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    scores = spark.read.schema("row bigint, score double").parquet(f"{folder}/scores")
+    return scores, spark.read.schema("model_id string, bucket_s int, window_s int, edges bigint").parquet(f"{folder}/meta")
