@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import alert_score, score_level
 from ..params import DAY, DETECTORS, HOUR, MULE_ROLES, PRIMARY, R20, SPLIT, Rules, Split
 from ..session import cut
-from .detectors import baselines, daily_totals, firings, hot_accounts, window_sums, with_pair_history
-from .running import global_index, hot_keys, running, with_segment
+from .detectors import baselines, daily_totals, firings, measure_hot, window_sums, with_pair_history
+from .running import global_index, running, with_segment
+
+Hot = tuple[DataFrame | None, DataFrame | None]
 
 SEV_RANK = "CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 SEV_NAME = "CASE {} WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"
@@ -105,13 +107,14 @@ def hop_hits(payments: DataFrame, primary: DataFrame) -> DataFrame:
     return x.where("act IS NOT NULL").selectExpr("*", "act.t AS act_us", "act.r AS act_row", "act.t = t_us AND act.r = row AS is_trigger")
 
 
-def hop_alerts(payments: DataFrame, accounts: DataFrame, primary: DataFrame, rules: Rules = R20, split: Split = SPLIT) -> DataFrame:
+def hop_alerts(payments: DataFrame, accounts: DataFrame, primary: DataFrame, rules: Rules = R20, split: Split = SPLIT, measured: Hot | None = None) -> DataFrame:
+    accounts_hot, pairs_hot = measured if measured is not None else measure_hot(payments, split)
     hits = hop_hits(payments, primary)
     order = ["act_us", "act_row", "t_us", "row"]
-    pair = with_segment(hits, ["to_id", "from_id"], hot_keys(payments, ["to_id", "from_id"], split), "act_us", split)
+    pair = with_segment(hits, ["to_id", "from_id"], pairs_hot, "act_us", split)
     first = running(pair, ["to_id", "from_id"], order, maxes={"prev": F.col("act_us")}, include_current=False)
     first = first.select(*hits.columns, F.col("prev").isNull().cast("int").alias("new_sender"))
-    hot = hot_keys(payments.select("to_id"), ["to_id"], split)
+    hot = None if accounts_hot is None else accounts_hot.withColumnRenamed("account_id", "to_id")
     seg = with_segment(first, ["to_id"], hot, "act_us", split)
     run = running(
         seg, ["to_id"], order,
@@ -173,29 +176,29 @@ def model_only_alerts(payments: DataFrame, rule_alerts: DataFrame, rules: Rules
     )
 
 
-def primary_stage(payments: DataFrame, accounts: DataFrame, rules: Rules, split: Split) -> tuple[DataFrame, DataFrame]:
-    """(judged stream, primary alerts). Firings and alerts are far smaller than the payments and are read several times,
+def primary_stage(payments: DataFrame, accounts: DataFrame, rules: Rules, split: Split) -> tuple[DataFrame, DataFrame, Hot]:
+    """(judged stream, primary alerts, hot keys). Firings and alerts are far smaller than the payments and are read several times,
     so both are written once instead of being derived again by every reader."""
-    hot = hot_accounts(payments, split)
-    paired = with_pair_history(payments, split)
+    hot, pairs = measure_hot(payments, split)
+    paired = with_pair_history(payments, split, pairs, measured=True)
     fires = cut(firings(window_sums(paired, hot, split), baselines(daily_totals(payments), rules), accounts, rules))
     j = judged(paired, fires, rules, hot, split)
-    return j, cut(primary_alerts(j).select(*ALERT_COLUMNS))
+    return j, cut(primary_alerts(j).select(*ALERT_COLUMNS)), (hot, pairs)
 
 
 def alert_table(payments: DataFrame, accounts: DataFrame, rules: Rules = R20, split: Split = SPLIT) -> DataFrame:
     """All alerts of an alert-only replay."""
-    _, primary = primary_stage(payments, accounts, rules, split)
+    _, primary, hot = primary_stage(payments, accounts, rules, split)
     ruled = primary
     if rules.hop_rule:
-        ruled = cut(primary.unionByName(hop_alerts(payments, accounts, primary, rules, split).select(*ALERT_COLUMNS)))
+        ruled = cut(primary.unionByName(hop_alerts(payments, accounts, primary, rules, split, hot).select(*ALERT_COLUMNS)))
     return ruled.unionByName(model_only_alerts(payments, ruled, rules).select(*ALERT_COLUMNS))
 
 
 def evidence_table(payments: DataFrame, accounts: DataFrame, rules: Rules = R20, split: Split = SPLIT) -> DataFrame:
     """(detector, account, row): every payment an alert rests on."""
-    j, primary = primary_stage(payments, accounts, rules, split)
-    hop = cut(hop_alerts(payments, accounts, primary, rules, split).select(*ALERT_COLUMNS))
+    j, primary, hot = primary_stage(payments, accounts, rules, split)
+    hop = cut(hop_alerts(payments, accounts, primary, rules, split, hot).select(*ALERT_COLUMNS))
     hits = hop_hits(payments, primary).join(hop.selectExpr("account_id AS to_id", "updated_us", "updated_row"), "to_id")
     hop_rows = hits.where("named_struct('a', act_us, 'b', act_row) <= named_struct('a', updated_us, 'b', updated_row)")
     ruled = primary.unionByName(hop)

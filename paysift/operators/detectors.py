@@ -200,7 +200,14 @@ def pass_floor(rules: Rules) -> str:
     )
 
 
+def measure_hot(payments: DataFrame, split: Split = SPLIT) -> tuple[DataFrame | None, DataFrame | None]:
+    """(hot accounts, hot pairs), measured once for a whole run. Without a hot account there is no hot pair."""
+    hot = hot_accounts(payments, split)
+    return hot, None if hot is None else hot_pairs(payments, split)
+
+
 def primary_firings(payments: DataFrame, accounts: DataFrame, rules: Rules = R20, split: Split = SPLIT) -> tuple[DataFrame, DataFrame]:
     """(payments with pair history, firings)."""
-    paired = with_pair_history(payments, split)
-    return paired, firings(window_sums(paired, hot_accounts(payments, split), split), baselines(daily_totals(payments), rules), accounts, rules)
+    hot, pairs = measure_hot(payments, split)
+    paired = with_pair_history(payments, split, pairs, measured=True)
+    return paired, firings(window_sums(paired, hot, split), baselines(daily_totals(payments), rules), accounts, rules)
