@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_counts
+from . import ball_search, fingerprints, mixing, packing, token_counts
 from .common import table
 
 
@@ -21,6 +21,24 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id, coalesce(list_sum(list_transform(list_zip(q.ints, v.ints), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM sound q JOIN sound v ON q.vec_id <> v.vec_id AND len(q.ints) = len(v.ints) WHERE q.vec_id % 50 = 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to equal shares of all sources: (doc_id, source, copy, n_chars, text_md5)."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -51,10 +69,14 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op6_pack_sequences, op10_count_tokens)}
-SQL = {"op3_mix_sources": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op2_top_inner_products, op3_mix_sources, op6_pack_sequences, op7_order_minhash, op10_count_tokens)}
+SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL}
