@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, fingerprints, mixing, packing, token_counts
+from . import ball_search, fingerprints, mixing, packing, token_counts, toxicity
 from .common import table
 
 
@@ -73,10 +73,21 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def labels_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories of the label table in chain order: low quality, then toxic."""
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, p_low_quality, p_toxic, p_strongly_toxic, is_toxic) of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, labels_by_category(spark, sf_dir)).drop("text")
+
+
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op2_top_inner_products, op3_mix_sources, op6_pack_sequences, op7_order_minhash, op10_count_tokens)}
+QUERIES = {f.__name__: f for f in (op2_top_inner_products, op3_mix_sources, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op10_count_tokens)}
 SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL}
