@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, fingerprints, mixing, packing, token_counts, toxicity
-from .common import table
+from . import ball_search, fingerprints, language, mixing, packing, token_counts, toxicity
+from .common import fold, table
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 5) == 0
+    return language.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -89,5 +95,5 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op2_top_inner_products, op3_mix_sources, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op10_count_tokens)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_inner_products, op3_mix_sources, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op10_count_tokens)}
 SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL}
