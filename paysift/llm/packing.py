@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from paysift.session import cut
 
 from .common import partitions_for, slices, text_or_empty
-from .pretokens import PieceCache
+from .pretokens import id_bytes, kept_cache
 
 END_ID = 0
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, key: str = "doc_id", text: str = "text", room: int = 300_000) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, key: str = "doc_id", text: str = "text", room: int = 800_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row: its ids and END_ID, cut every `capacity` ids."""
     def cut_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceCache(vocabulary, "word", lambda ids: np.asarray(ids, "<u4").tobytes(), None, room)
-        end, step = np.asarray([END_ID], "<u4").tobytes(), 4 * capacity
+        pieces = kept_cache(vocabulary, "word", id_bytes, None, room)
+        end, step = id_bytes([END_ID]), 4 * capacity
         for batch in slices(batches, "text", 256):
             out: list[tuple] = []
             for doc, parts in zip(batch.column(0).to_pylist(), pieces(batch.column(1).to_pylist()), strict=True):

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable
 from itertools import chain
 
@@ -43,7 +45,7 @@ class PieceCache:
     holds `room` entries, so memory stays bounded on any corpus; results do not depend on it.
     """
 
-    def __init__(self, path: str, kind: str, value: Callable, frequent: dict | None = None, room: int = 400_000):
+    def __init__(self, path: str, kind: str, value: Callable, frequent: dict | None = None, room: int = 800_000):
         self.tokenizer, self.split, self.value, self.lower = load(path), SPLITS[kind], value, kind == "word"
         self.frequent, self.room, self.cache = frequent or {}, room, dict(frequent or {})
 
@@ -62,3 +64,26 @@ class PieceCache:
             self.cache.update(zip(missing, self.encode(missing), strict=True))
         get = self.cache.__getitem__
         return [[whole[i]] if i in whole else list(map(get, p)) for i, p in enumerate(parts)]
+
+
+_KEPT: dict[tuple, PieceCache] = {}
+
+
+def kept_cache(path: str, kind: str, value: Callable, frequent: dict | None = None, room: int = 800_000) -> PieceCache:
+    """The cache of this worker process, kept from task to task."""
+    key = (path, kind, value.__name__, room)
+    if key not in _KEPT:
+        _KEPT[key] = PieceCache(path, kind, value, frequent, room)
+    kept = _KEPT[key]
+    if frequent and kept.frequent != frequent:
+        kept.frequent = frequent
+        kept.cache.update(frequent)
+    return kept
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
