@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, fingerprints, language, mixing, packing, token_counts, toxicity
+from . import ball_search, fingerprints, language, mixing, ngram_join, packing, token_counts, toxicity
 from .common import fold, table
 
 
@@ -71,6 +71,33 @@ SELECT doc_id, source, copy::INTEGER AS copy, n_chars, md5(text) AS text_md5 FRO
 """
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, set_id, n_links): five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "set_id", "n_links")
+
+
+OP4_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS items FROM worded
+),
+keyed AS (SELECT doc_id, items, md5(array_to_string(items, '|')) AS set_key FROM shingled),
+sets AS (SELECT set_key, min(doc_id) AS set_id, first(items) AS items, len(first(items)) AS n FROM keyed WHERE set_key IS NOT NULL GROUP BY set_key),
+flat AS (SELECT set_id, n, unnest(items) AS item FROM sets),
+shared AS (SELECT a.set_id AS a, b.set_id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM flat a JOIN flat b ON a.item = b.item AND a.set_id < b.set_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE common::DOUBLE / (na + nb - common) >= 0.8),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+classes AS (SELECT a, min(least(a, b)) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a)
+SELECT k.doc_id, coalesce(c.class_id, s.set_id, k.doc_id) AS class_id, coalesce(s.set_id, k.doc_id) AS set_id, coalesce(m.n_links, 0)::BIGINT AS n_links
+FROM keyed k LEFT JOIN sets s ON k.set_key = s.set_key LEFT JOIN classes c ON s.set_id = c.a LEFT JOIN counts m ON s.set_id = m.a
+"""
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -95,5 +122,5 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_inner_products, op3_mix_sources, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op10_count_tokens)}
-SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_inner_products, op3_mix_sources, op4_ngram_jaccard, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op10_count_tokens)}
+SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
