@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, fingerprints, language, mixing, ngram_join, packing, token_counts, toxicity
+from . import ball_search, fingerprints, language, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
 from .common import fold, table
 
 
@@ -117,10 +117,14 @@ def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, labels_by_category(spark, sf_dir)).drop("text")
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_inner_products, op3_mix_sources, op4_ngram_jaccard, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op10_count_tokens)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_inner_products, op3_mix_sources, op4_ngram_jaccard, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op9_repeated_bytes, op10_count_tokens)}
 SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
