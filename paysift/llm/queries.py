@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, fingerprints, language, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from . import attention_lm, ball_search, fingerprints, language, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
 from .common import fold, table
 
 
@@ -98,6 +98,11 @@ FROM keyed k LEFT JOIN sets s ON k.set_key = s.set_key LEFT JOIN classes c ON s.
 """
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return attention_lm.score_texts(docs, fold("doc_id", 7) != 2, vocabulary("word_bpe_49k.json"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -126,5 +131,5 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_inner_products, op3_mix_sources, op4_ngram_jaccard, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op9_repeated_bytes, op10_count_tokens)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_inner_products, op3_mix_sources, op4_ngram_jaccard, op5_attention_lm, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op9_repeated_bytes, op10_count_tokens)}
 SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
