@@ -355,5 +355,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     found = similar_documents(docs, key, text, **settings)
     chosen = found.groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("chosen_row")).distinct()
     columns = [f"`{c}`" for c in docs.columns]
-    marked = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
-    return marked.join(chosen, marked["_row"] == chosen["chosen_row"], "left_semi").dropDuplicates(["_row"]).select(*columns)
+    marked = docs.withColumn("_keep_one_row", F.xxhash64(F.col(key), F.col(text)))
+    return marked.join(chosen, marked["_keep_one_row"] == chosen["chosen_row"], "left_semi").dropDuplicates(["_keep_one_row"]).select(*columns)

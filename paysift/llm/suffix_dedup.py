@@ -406,11 +406,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             kept = [_kept(t.encode(), lo, hi).decode(errors="ignore") for lo, hi, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["text_key", "_kept"])
-
-    whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("row_key", F.lit("").alias("_kept"))
-    some = rows.select("row_key", "text_key").join(found.mapInArrow(clean, "text_key binary, _kept string"), "text_key").select("row_key", "_kept")
-    changed = whole.unionByName(some).dropDuplicates(["row_key"]).withColumnRenamed("row_key", "_row")
-    marked = docs.withColumn("_row_of", F.xxhash64(F.col(key), F.col(text)))
-    columns = [F.coalesce("_kept", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return marked.join(changed, F.col("_row_of") == F.col("_row"), "left").select(*columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["text_key", "_repeat_kept"])
+
+    whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("row_key", F.lit("").alias("_repeat_kept"))
+    some = rows.select("row_key", "text_key").join(found.mapInArrow(clean, "text_key binary, _repeat_kept string"), "text_key").select("row_key", "_repeat_kept")
+    changed = whole.unionByName(some).dropDuplicates(["row_key"]).withColumnRenamed("row_key", "_repeat_row")
+    marked = docs.withColumn("_repeat_row_of", F.xxhash64(F.col(key), F.col(text)))
+    columns = [F.coalesce("_repeat_kept", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return marked.join(changed, F.col("_repeat_row_of") == F.col("_repeat_row"), "left").select(*columns)
