@@ -3,7 +3,16 @@
 from .sql_metrics import A, P
 from .sql_profiles import ACTIONS, ORD, ROUTE
 
-CAN = "run_id || '|' || entry_id || '|' || at_us || '|~|' || action || '|' || actor || '|analyst|' || replace(note, '|', '||') || '|~|' || account_id || '|~|~'"
+def _f(x: str) -> str:
+    return f"coalesce(length({x}::VARCHAR) || ':' || {x}, '-')"
+
+
+CAN = " || ".join([_f("run_id"), _f("entry_id"), _f("at_us"), "'-'", _f("action"), _f("actor"), "'7:analyst'", _f("note"), "'-'", _f("account_id"), "'--'"])
+_KEY = b"demo-secret".ljust(64, b"\0")
+
+
+def _blob(pad: int) -> str:
+    return "'" + "".join(f"\\x{b ^ pad:02X}" for b in _KEY) + "'::BLOB"
 ENTRIES = """en AS (SELECT 'run-' || user_id AS run_id, event_id AS entry_id, epoch_us(ts) AS at_us, event_type AS action, 'analyst-' || user_id AS actor, props AS note, 'A' || user_id AS account_id FROM events)"""
 
 
@@ -36,6 +45,7 @@ SQL = {
   FROM (SELECT run_id, count(*) FILTER (entry_id < 20) AS u FROM en WHERE NOT (entry_id >= 20 AND entry_id % 1009 = 5) GROUP BY 1) e LEFT JOIN (SELECT run_id, count(*) AS n FROM rs GROUP BY 1) c USING (run_id)
   LEFT JOIN (SELECT * FROM rs WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY at_us, entry_id) = 1) b USING (run_id)""",
     "audit_trail": f"WITH {ENTRIES} SELECT run_id, entry_id, action, at_us FROM en ORDER BY at_us DESC, entry_id DESC LIMIT 200",
+    "record_signatures": f"WITH {ENTRIES} SELECT entry_id, 'sha256=' || sha256({_blob(0x5C)} || unhex(sha256({_blob(0x36)} || ({CAN})::BLOB))) AS signature FROM en",
     "record_hashes": f"WITH {ENTRIES} SELECT entry_id, sha256({CAN}) AS hash FROM en",
     "tool_downstream": P() + "SELECT to_vpa, to_state, amount, t_us, layer FROM pay WHERE from_vpa = 'a3@x' ORDER BY t_us, row LIMIT 20",
     "tool_watch": P() + "SELECT row, from_state || ' → ' || to_state AS state_pair, amount, score FROM pay WHERE lower(from_state || ' → ' || to_state) LIKE '%s1%' ORDER BY t_us DESC, row DESC LIMIT 25",

@@ -10,6 +10,7 @@ DATE_FORMATS = ("dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MMM-yyyy", "dd-MMM
 # The shape each layout accepts, so a two-digit year is never read by a four-digit layout.
 DATE_SHAPES = (r"\d{1,2}-\d{1,2}-\d{4}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}-[A-Za-z]{3}-\d{4}", r"\d{1,2}-[A-Za-z]{3}-\d{2}", r"\d{1,2}/\d{1,2}/\d{2}",
                r"\d{4}/\d{1,2}/\d{1,2}", r"\d{1,2}\.\d{1,2}\.\d{4}", r"\d{4}-\d{1,2}-\d{1,2}T\d{2}:\d{2}:\d{2}")
+# Words for a missing value, and the shapes of company and partnership identifiers.
 NA_WORDS = ("NA", "N/A", "-", "NULL", "NONE", "NAN")
 CIN_SHAPE = r"^[LU]\d{5}[A-Z]{2}\d{4}[A-Z]{3}\d{6}$"
 LLPIN_SHAPE = r"^[A-Z]{3}-\d{4}$"
@@ -49,7 +50,7 @@ def address_key(c: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(F.upper(c), r"\.", ""), r"[^A-Z0-9 ]", " ")
     s = F.regexp_replace(s, r"\b([A-Z])\s+(?=[A-Z]\b)", "$1")
     s = F.regexp_replace(s, r"\b(" + "|".join(ADDRESS_NOISE) + r")\b", " ")
-    s = F.substring(F.trim(F.regexp_replace(s, r"\s+", " ")), 1, 300)
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
     return F.when(F.length(s) > 0, s)
 
 

@@ -55,8 +55,11 @@ def parse_ts(s: Column, formats: tuple[str, ...] = TS_FORMATS) -> Column:
 
 
 def iso_time(s: Column) -> Column:
-    """ISO text to UTC time: an offset shifts, a naive time is kept, '' is null. Fractions of a second are dropped."""
-    return F.date_trunc("second", F.when(F.trim(s) != "", F.trim(s)).try_cast("timestamp"))
+    """ISO text to UTC time: an offset shifts, a naive time is kept, '' is null. Fractions of a second are dropped.
+
+    The text must begin with a full date: a time alone would become a time of the day on which the job runs."""
+    dated = F.trim(s).rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)")
+    return F.date_trunc("second", F.when(dated, F.trim(s)).try_cast("timestamp"))
 
 
 def hour_of_day(t_seconds: Column) -> Column:

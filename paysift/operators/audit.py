@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -20,8 +19,14 @@ GENESIS = "0" * 64
 
 
 def canonical(cols: Sequence[str] = HASHED) -> Column:
-    """One text per row: fields in fixed order, nulls marked, separator escaped inside fields."""
-    return F.concat_ws("|", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", "||"), F.lit("~")) for c in cols])
+    """One text per row: fields in fixed order, each as its length, a colon and its characters, or a dash for null.
+
+    Different rows have different texts: a dash or a number says how far the field reaches."""
+    def field(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.concat(*[field(c) for c in cols])
 
 
 def record_hash(cols: Sequence[str], prev: Column | None = None) -> Column:
@@ -30,10 +35,14 @@ def record_hash(cols: Sequence[str], prev: Column | None = None) -> Column:
 
 
 def signature(body: Column, secret: str) -> Column:
-    @F.pandas_udf("string")
-    def sign(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: "sha256=" + hmac.new(secret.encode(), x.encode(), hashlib.sha256).hexdigest())
-    return sign(body)
+    """HMAC-SHA-256 as two nested hashes over the padded secret."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+
+    def keyed(pad: int, message: Column) -> Column:
+        return F.sha2(F.concat(F.lit(bytes(b ^ pad for b in key)), message), 256)
+
+    return F.concat(F.lit("sha256="), keyed(0x5C, F.unhex(keyed(0x36, F.encode(body, "UTF-8")))))
 
 
 def seal(entries: DataFrame) -> DataFrame:

@@ -59,6 +59,7 @@ def iso(spark, sf):
     p = V.payments(spark, sf).select("row", F.timestamp_micros("t_us").alias("t"))
     base = F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss")
     text = F.when(F.col("row") % 4 == 0, F.concat(base, F.lit("+05:30"))).when(F.col("row") % 4 == 1, F.concat(base, F.lit("Z"))).when(F.col("row") % 4 == 2, base).otherwise("")
+    text = F.when(F.col("row") % 16 == 3, F.date_format("t", "HH:mm:ss")).when(F.col("row") % 16 == 7, F.date_format("t", "'T'HH:mm")).when(F.col("row") % 16 == 11, F.date_format("t", "yyyy")).otherwise(text)
     return p.select("row", F.unix_micros(S.iso_time(text)).alias("utc_us"))
 
 
@@ -299,8 +300,9 @@ def upsert_directors(spark, sf):
     d = V.directorships(spark, sf).select("din").distinct()
     n = F.col("din").cast("int")
     have = d.where(n % 2 == 0).select("din", F.when(n % 4 == 0, F.concat(F.lit("old "), "din")).alias("name"), F.lit(0).alias("disqualified"), F.lit(None).cast("string").alias("disqualified_note"))
-    named = d.where(n % 3 == 0).select("din", F.concat(F.lit("dir "), "din").alias("name"))
-    dis = d.where(n % 11 == 0).select("din", F.lit(None).cast("string").alias("name"), F.lit("s.164(2)").alias("note"))
+    twice = F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")
+    named = d.where(n % 3 == 0).select("din", twice).select("din", "seq", F.concat(F.when(F.col("seq") == 1, "zzz ").otherwise("dir "), "din").alias("name"))
+    dis = d.where(n % 11 == 0).select("din", twice).select("din", "seq", F.lit(None).cast("string").alias("name"), F.when(F.col("seq") == 1, "z. 999").otherwise("s.164(2)").alias("note"))
     return registry_files.upsert_directors(have, named, dis)
 
 

@@ -28,8 +28,8 @@ def parse_payments(raw: DataFrame, text: str = "value") -> DataFrame:
 
 
 def dead_letters(parsed: DataFrame, text: str = "value") -> DataFrame:
-    """Rejected messages, once per (source, position); long texts are stored cut at the table's limits."""
-    bad = parsed.where("error IS NOT NULL").select("source", "position", F.substring(text, 1, 20_000).alias("raw"), F.substring("error", 1, 1_000).alias("error"))
+    """Rejected messages with their whole text, once per (source, position)."""
+    bad = parsed.where("error IS NOT NULL").select("source", "position", F.col(text).alias("raw"), "error")
     return bad.groupBy("source", "position").agg(F.min_by("raw", "raw").alias("raw"), F.min_by("error", "raw").alias("error"))
 
 
