@@ -12,7 +12,7 @@ pth AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY legs) AS path_no
 CTX = """b AS (SELECT *, t_us // 5000000 AS bkt, max(t_us) OVER (PARTITION BY t_us // 5000000) AS now_us FROM pay),
 ends AS (SELECT row, bkt, now_us, from_id AS node FROM b UNION SELECT row, bkt, now_us, to_id FROM b),
 near AS (SELECT n.bkt, n.now_us, n.node, x.row AS ctx, x.from_id AS source FROM (SELECT DISTINCT bkt, now_us, node FROM ends UNION SELECT DISTINCT e.bkt, e.now_us, x.from_id FROM ends e JOIN b x ON x.to_id = e.node AND x.bkt <= e.bkt AND x.t_us >= e.now_us - 259200000000) n
-  JOIN b x ON x.to_id = n.node AND x.bkt <= n.bkt AND x.t_us >= n.now_us - 259200000000 QUALIFY row_number() OVER (PARTITION BY n.bkt, n.node ORDER BY x.t_us DESC, x.row DESC) <= 4),
+  JOIN b x ON x.to_id = n.node AND x.bkt <= n.bkt AND x.t_us >= n.now_us - 259200000000),
 one AS (SELECT e.row, e.bkt, ctx, source FROM ends e JOIN near USING (bkt, node)),
 two AS (SELECT DISTINCT o.row, n.ctx FROM one o JOIN near n ON n.bkt = o.bkt AND n.node = o.source)"""
 PNA = "g AS (SELECT to_id AS account_id, count(*) AS d, avg(ln(1+amount)) AS mean, min(ln(1+amount)) AS min, max(ln(1+amount)) AS max, stddev_pop(ln(1+amount)) AS std FROM pay GROUP BY 1), z AS (SELECT *, ln(1+d) / (SELECT avg(ln(1+d)) FROM g) AS u FROM g)"
@@ -46,7 +46,7 @@ SQL = {
     "path_summary": A("r2.0", PATHS) + """SELECT seed, reached, flagged_reached, longest, paths FROM (SELECT seed, count(DISTINCT n) AS reached, count(DISTINCT n) FILTER (n IN (SELECT account_id FROM alerts WHERE detector='structuring')) AS flagged_reached FROM (SELECT seed, unnest(nodes[2:]) AS n FROM pth) GROUP BY 1)
   JOIN (SELECT seed, CAST(max(len(legs)) AS INT) AS longest, count(*) AS paths FROM pth GROUP BY 1) USING (seed)""",
     "path_accounts_by_hop": A("r2.0", PATHS) + "SELECT seed, CAST(hop AS INT) AS hop, count(DISTINCT nodes[hop + 1]) AS accounts FROM pth, (SELECT unnest([1,2,3]) AS hop) WHERE len(nodes) > hop GROUP BY 1, 2",
-    "context_edges_two_hop": P(CTX) + "SELECT row, ctx FROM one UNION SELECT row, ctx FROM two",
+    "context_edges_two_hop": P(CTX) + "SELECT row, count(*) AS edges, CAST(sum(ctx) AS BIGINT) AS ctx_sum, min(ctx) AS ctx_min, max(ctx) AS ctx_max FROM (SELECT row, ctx FROM one UNION SELECT row, ctx FROM two) GROUP BY 1",
     "recent_in_edges_cap": P() + "SELECT to_id, row, rk FROM (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY t_us DESC, row DESC) AS rk FROM pay) WHERE rk <= 8",
     "bidirectional_edges": P() + "SELECT row, from_id, to_id, 'to' AS direction FROM pay UNION ALL SELECT row, to_id, from_id, 'rev_to' FROM pay",
     "undirected_pairs": P() + "SELECT from_id, to_id FROM pay UNION SELECT to_id, from_id FROM pay",

@@ -67,7 +67,7 @@ SQL = {
     "z_normalised_edges": P(f"e AS (SELECT sc.scope, row, ln(1+amount) AS x, (t_us - {S})/1e6 AS t FROM pay JOIN (VALUES ('train', 6), ('train_val', 8), ('all', 10)) sc(scope, d) ON t_us < {S} + d * {DAY})")
     + "SELECT scope, row, round((x - avg(x) OVER w) / CASE WHEN stddev_samp(x) OVER w = 0 THEN 1.0 ELSE stddev_samp(x) OVER w END, 6) AS z_x, round((t - avg(t) OVER w) / CASE WHEN stddev_samp(t) OVER w = 0 THEN 1.0 ELSE stddev_samp(t) OVER w END, 6) AS z_t FROM e WINDOW w AS (PARTITION BY scope)",
     "feature_statistics": P() + f"SELECT round(avg(ln(1+amount)), 9) AS mean, round(stddev_samp(ln(1+amount)), 9) AS std, count(*) AS n FROM pay WHERE t_us < {S + 6 * DAY}",
-    "payments_csv_source": P() + "SELECT txn_id, (t_us // 1000000) * 1000000 AS t_us, from_id, to_id, amount, 'P2P' AS channel, is_fraud, layer FROM pay",
+    "payments_csv_source": P() + "SELECT row_number() OVER (ORDER BY row) - 1 AS row, txn_id, (t_us // 1000000) * 1000000 AS t_us, from_id, to_id, amount, 'P2P' AS channel, is_fraud, layer FROM pay",
     "accounts_csv_source": with_(V_ACCOUNTS) + "SELECT account_id, vpa, state, bank, role, kind FROM v_accounts",
     "merchant_folder_source": with_(V_MERCHANTS, V_M_PAYMENTS, V_COLLECTS) + "SELECT merchant_id, category, '' AS chain, '' AS scenario, (SELECT count(*) FROM v_m_payments p WHERE p.merchant_id = m.merchant_id) AS payments, (SELECT count(*) FROM v_collects c WHERE c.merchant_id = m.merchant_id) AS collects FROM v_merchants m",
     "canonical_edges": with_(RAW.format(leg="false", where="", first="pc", second="rc")) + EDGES.format(off=0),
@@ -82,9 +82,9 @@ SQL = {
   CASE WHEN NOT (http_status < 300 OR http_status = 404 OR attempts + 1 >= 6) THEN {NOW} + CAST(pow(2, attempts + 1) AS BIGINT) * 1000000 END AS next_attempt_us, 'outbox-' || id AS idempotency_key
   FROM (SELECT o_orderkey AS id, ([200,500,404,408,429,503,202])[o_orderkey % 7 + 1] AS http_status, CAST(o_custkey % 6 AS INT) AS attempts FROM orders)""",
     "outbox_due_items": f"SELECT * FROM (SELECT o_orderkey AS id, ([200,500,404,408,429,503,202])[o_orderkey % 7 + 1] AS http_status, CAST(o_custkey % 6 AS INT) AS attempts, CASE WHEN o_orderkey % 3 = 0 THEN 'delivered' ELSE 'pending' END AS status, {NOW} + (o_orderkey % 11 - 5) * 1000000 AS next_attempt_us FROM orders) WHERE status = 'pending' AND next_attempt_us <= {NOW} ORDER BY id LIMIT 20",
-    "registry_import_companies": with_(V_REGISTRY) + f"SELECT CASE WHEN no % 17 = 0 THEN 'X' || cin ELSE cin END AS cin, name, status, CASE WHEN no % 4 = 3 THEN NULL ELSE strftime(incorporated_on, '%Y-%m-%d') END AS incorporated_on, paid_up_capital, {KEY.format('address')} AS address_key, CAST(last_annual_return AS INT) AS last_annual_return, CASE WHEN no % 17 = 0 THEN 'not a CIN or LLPIN: X' || cin ELSE '' END AS error FROM v_companies",
+    "registry_import_companies": with_(V_REGISTRY) + f"SELECT CASE WHEN no % 17 = 0 THEN 'X' || cin ELSE cin END AS cin, name, status, CASE WHEN no % 4 = 3 THEN NULL ELSE strftime(incorporated_on, '%Y-%m-%d') END AS incorporated_on, paid_up_capital, {KEY.format('address')} AS address_key, CAST(last_annual_return AS INT) AS last_annual_return, CASE WHEN no % 17 = 0 THEN 'company id has the wrong form: X' || cin ELSE '' END AS error FROM v_companies",
     "registry_import_report": with_(V_REGISTRY) + "SELECT 'companies' AS kind, count(*) AS read, count(*) FILTER (no % 17 <> 0) AS loaded, count(*) FILTER (no % 17 = 0) AS skipped, 'Extra' AS unmapped FROM v_companies",
-    "registry_import_rejects": with_(V_REGISTRY) + "SELECT error, count(*) AS n FROM (SELECT CASE WHEN CAST(din AS INT) % 6 = 0 THEN 'not a CIN or LLPIN: bad' WHEN CAST(din AS INT) % 10 = 0 THEN 'empty DIN' END AS error FROM v_directorships UNION ALL SELECT CASE WHEN cin LIKE '%7' THEN 'not a VPA: novpa' END FROM v_entity_accounts) WHERE error IS NOT NULL GROUP BY 1",
+    "registry_import_rejects": with_(V_REGISTRY) + "SELECT error, count(*) AS n FROM (SELECT CASE WHEN CAST(din AS INT) % 6 = 0 THEN 'company id has the wrong form: bad' WHEN CAST(din AS INT) % 10 = 0 THEN 'director id is missing' END AS error FROM v_directorships UNION ALL SELECT CASE WHEN cin LIKE '%7' THEN 'payment address has no @: novpa' END FROM v_entity_accounts) WHERE error IS NOT NULL GROUP BY 1",
     "registry_upsert": with_(V_REGISTRY) + "SELECT cin, CASE WHEN no % 3 = 0 THEN 'last new ' || name ELSE name END AS name, CASE WHEN no % 3 = 0 THEN 'Active' ELSE status END AS status FROM v_companies WHERE no % 2 = 0 OR no % 3 = 0",
     "registry_upsert_directors": with_(V_REGISTRY) + "SELECT din, CASE WHEN d % 4 = 0 THEN 'old ' || din WHEN d % 3 = 0 THEN 'dir ' || din END AS name, CASE WHEN d % 11 = 0 THEN 1 ELSE 0 END AS disqualified, CASE WHEN d % 11 = 0 THEN 's.164(2)' END AS disqualified_note FROM (SELECT DISTINCT din, CAST(din AS INT) AS d FROM v_directorships) WHERE d % 2 = 0 OR d % 3 = 0 OR d % 11 = 0",
     "registry_identifiers": with_(V_REGISTRY) + """SELECT no, CASE no % 6 WHEN 0 THEN 'AAB-' || lpad(CAST(no % 10000 AS VARCHAR), 4, '0') WHEN 1 THEN 'JUNK' ELSE cin END AS cin, CASE no % 3 WHEN 0 THEN CASE WHEN length(CAST(no AS VARCHAR)) < 8 THEN lpad(CAST(no AS VARCHAR), 8, '0') ELSE CAST(no AS VARCHAR) END WHEN 1 THEN 'P' || no ELSE '1234567' || no END AS din,

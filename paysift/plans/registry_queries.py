@@ -132,9 +132,11 @@ def _csv(spark: SparkSession, df: DataFrame) -> str:
 @query("payments_csv_source")
 def payments_csv(spark, sf):
     """Payments written as CSV without a channel column and read back."""
-    p = V.payments(spark, sf).select("txn_id", F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("from_id").alias("sender_id"), F.col("from_vpa").alias("sender_vpa"),
+    # in files that follow each other in the order of their names
+    ordered = V.payments(spark, sf).repartitionByRange(5, "row").sortWithinPartitions("row")
+    p = ordered.select("txn_id", F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("from_id").alias("sender_id"), F.col("from_vpa").alias("sender_vpa"),
                                      F.col("from_state").alias("sender_state"), F.col("to_id").alias("recv_id"), F.col("to_vpa").alias("recv_vpa"), F.col("to_state").alias("recv_state"), F.col("amount").alias("amount_inr"), "is_fraud", "layer")
-    return files.read_payments(spark, _csv(spark, p)).select("txn_id", "t_us", "from_id", "to_id", "amount", "channel", "is_fraud", "layer")
+    return files.read_payments(spark, _csv(spark, p)).select("row", "txn_id", "t_us", "from_id", "to_id", "amount", "channel", "is_fraud", "layer")
 
 
 @query("accounts_csv_source")

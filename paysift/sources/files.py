@@ -26,11 +26,15 @@ def _opt(df: DataFrame, name: str, default: str | None = None) -> Column:
 
 
 def read_payments(spark: SparkSession, path: str) -> DataFrame:
-    """Payment CSV; a missing channel column means P2P. `row` keeps the file order."""
+    """Payment CSV; a missing channel column means P2P. `row` counts from 0 by file name and place in the file.
+
+    A split of a file is read by one task from front to back, so (file, split, running number) is the file order."""
     d = _text_csv(spark, path)
+    d = d.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    d = global_index(d, ["_at"], F.struct("_file", "_split"), "_row", start=0)
     ts = F.col("timestamp").try_cast("timestamp")
     return d.select(
-        F.monotonically_increasing_id().alias("row"), F.col("txn_id"), F.unix_micros(ts).alias("t_us"), F.col("sender_id").alias("from_id"), F.col("sender_vpa").alias("from_vpa"), F.col("sender_state").alias("from_state"),
+        F.col("_row").alias("row"), F.col("txn_id"), F.unix_micros(ts).alias("t_us"), F.col("sender_id").alias("from_id"), F.col("sender_vpa").alias("from_vpa"), F.col("sender_state").alias("from_state"),
         F.col("recv_id").alias("to_id"), F.col("recv_vpa").alias("to_vpa"), F.col("recv_state").alias("to_state"), F.col("amount_inr").cast("double").alias("amount"), F.col("is_fraud").cast("int").alias("is_fraud"),
         F.col("layer"), _opt(d, "channel", "P2P").alias("channel"))
 
