@@ -4,7 +4,7 @@ from .sql_metrics import TEST, A, P
 
 S, DAY = 1_704_067_200_000_000, 86_400_000_000
 # plain enumeration, one level after another; the cut to 200 is applied once, at the end
-PATHS = """sd AS (SELECT DISTINCT account_id AS seed FROM alerts WHERE detector = 'structuring'),
+PATHS = """sd AS (SELECT DISTINCT account_id AS seed FROM alerts WHERE status NOT IN ('cleared', 'superseded')),
 h1 AS (SELECT seed, [seed, to_id] AS nodes, [(t_us, row)] AS legs FROM sd JOIN pay ON from_id = seed WHERE to_id <> seed),
 h2 AS (SELECT seed, list_append(nodes, to_id) AS nodes, list_append(legs, (t_us, row)) AS legs FROM h1 JOIN pay ON from_id = nodes[-1] AND t_us >= legs[-1][1] WHERE NOT list_contains(nodes, to_id)),
 h3 AS (SELECT seed, list_append(nodes, to_id) AS nodes, list_append(legs, (t_us, row)) AS legs FROM (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY legs) <= 400) JOIN pay ON from_id = nodes[-1] AND t_us >= legs[-1][1] WHERE NOT list_contains(nodes, to_id)),
@@ -16,34 +16,11 @@ near AS (SELECT n.bkt, n.now_us, n.node, x.row AS ctx, x.from_id AS source FROM
 one AS (SELECT e.row, e.bkt, ctx, source FROM ends e JOIN near USING (bkt, node)),
 two AS (SELECT DISTINCT o.row, n.ctx FROM one o JOIN near n ON n.bkt = o.bkt AND n.node = o.source)"""
 PNA = "g AS (SELECT to_id AS account_id, count(*) AS d, avg(ln(1+amount)) AS mean, min(ln(1+amount)) AS min, max(ln(1+amount)) AS max, stddev_pop(ln(1+amount)) AS std FROM pay GROUP BY 1), z AS (SELECT *, ln(1+d) / (SELECT avg(ln(1+d)) FROM g) AS u FROM g)"
-COSTS = {
-    "money": (30_000.0, 115_800.0, 230_000.0), "share": (0.05, 0.15, 0.30), "minute": (502768 * 1.2 / (230 * 7 * 60), 502768 * 1.4 / (220 * 6.5 * 60), 502768 * 2.0 / (210 * 6 * 60)), "minutes": (5.0, 15.0, 30.0),
-    "restricted": (0.05, 0.15, 0.50), "wrong": (200.0, 600.0, 3000.0), "fixed": (5e5, 15e5, 40e5),
-}
-
-
-def d(x: float) -> str:
-    return f"{x!r}::DOUBLE"
-
-
-def tri(n: str) -> str:
-    lo, mo, hi = COSTS[n]
-    u = f"(CAST('0x' || substr(md5(row || '|{n}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
-    return f"CASE WHEN {u} < {d((mo - lo) / (hi - lo))} THEN {d(lo)} + sqrt({u} * {d(hi - lo)} * {d(mo - lo)}) ELSE {d(hi)} - sqrt((1 - {u}) * {d(hi - lo)} * {d(hi - mo)}) END AS {n}"
-
-
-DRAWS = f"dr0 AS (SELECT {', '.join(tri(n) for n in COSTS)} FROM pay), dr AS (SELECT *, money * share AS b, minute * minutes AS c FROM dr0)"
-
-
-def arm(name: str, good: int, bad: int) -> str:
-    v = {n: c[good if n in ("money", "share") else bad] for n, c in COSTS.items()}
-    b, c, hf = v["money"] * v["share"], v["minute"] * v["minutes"], v["restricted"] * v["wrong"]
-    return f"SELECT '{name}' AS scenario, {round((c + hf) / (b + hf), 5)!r}::DOUBLE AS per_alert, {round((v['fixed'] / (365 * 50) + c + hf) / (b + hf), 5)!r}::DOUBLE AS with_fixed"
 
 
 SQL = {
     "downstream_paths": A("r2.0", PATHS) + "SELECT seed, path_no, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(legs, lambda x: x[2]), ',') AS rows FROM pth",
-    "path_summary": A("r2.0", PATHS) + """SELECT seed, reached, flagged_reached, longest, paths FROM (SELECT seed, count(DISTINCT n) AS reached, count(DISTINCT n) FILTER (n IN (SELECT account_id FROM alerts WHERE detector='structuring')) AS flagged_reached FROM (SELECT seed, unnest(nodes[2:]) AS n FROM pth) GROUP BY 1)
+    "path_summary": A("r2.0", PATHS) + """SELECT seed, reached, flagged_reached, longest, paths FROM (SELECT seed, count(DISTINCT n) AS reached, count(DISTINCT n) FILTER (n IN (SELECT account_id FROM alerts WHERE status NOT IN ('cleared', 'superseded'))) AS flagged_reached FROM (SELECT seed, unnest(nodes[2:]) AS n FROM pth) GROUP BY 1)
   JOIN (SELECT seed, CAST(max(len(legs)) AS INT) AS longest, count(*) AS paths FROM pth GROUP BY 1) USING (seed)""",
     "path_accounts_by_hop": A("r2.0", PATHS) + "SELECT seed, CAST(hop AS INT) AS hop, count(DISTINCT nodes[hop + 1]) AS accounts FROM pth, (SELECT unnest([1,2,3]) AS hop) WHERE len(nodes) > hop GROUP BY 1, 2",
     "context_edges_two_hop": P(CTX) + "SELECT row, count(*) AS edges, CAST(sum(ctx) AS BIGINT) AS ctx_sum, min(ctx) AS ctx_min, max(ctx) AS ctx_max FROM (SELECT row, ctx FROM one UNION SELECT row, ctx FROM two) GROUP BY 1",
@@ -57,14 +34,12 @@ SQL = {
     "neighbour_attention_mean": P("a AS (SELECT to_id, ln(1+amount) AS v, CASE WHEN score*2 - ln(1+amount)/10 > 0 THEN score*2 - ln(1+amount)/10 ELSE 0.2::DOUBLE * (score*2 - ln(1+amount)/10) END AS l FROM pay)") + "SELECT to_id AS account_id, round(sum(exp(l) * v) / (sum(exp(l)) + 1), 6) AS attended FROM a GROUP BY 1",
     "neighbour_relation_means": P() + "SELECT to_id AS account_id, round(avg(ln(1+amount)) FILTER (channel='P2M'), 6) AS \"P2M\", round(avg(ln(1+amount)) FILTER (channel='P2P'), 6) AS \"P2P\" FROM pay GROUP BY 1",
     "ego_flags": P() + "SELECT account_id, max(f) AS ego FROM (SELECT from_id AS account_id, is_fraud AS f FROM pay UNION ALL SELECT to_id, is_fraud FROM pay) GROUP BY 1",
-    "paid_by_flagged": P() + "SELECT DISTINCT to_id AS account_id FROM pay WHERE channel='P2P' AND from_id IN (SELECT to_id FROM pay GROUP BY 1 HAVING max(score) >= 1.0)",
+    "paid_by_flagged": P() + "SELECT DISTINCT to_id AS account_id FROM pay WHERE from_id IN (SELECT to_id FROM pay GROUP BY 1 HAVING max(score) >= 1.0)",
     "spliced_node_ids": P(f"""kn AS (SELECT key, row_number() OVER (ORDER BY min((row, o))) - 1 AS id FROM (SELECT from_id AS key, row, 0 AS o FROM pay WHERE t_us < {S + DAY // 4} UNION ALL SELECT to_id, row, 1 FROM pay WHERE t_us < {S + DAY // 4}) GROUP BY 1),
   ts AS (SELECT key, min((row, o)) AS f FROM (SELECT from_id AS key, row, 0 AS o FROM pay WHERE {TEST} UNION ALL SELECT to_id, row, 1 FROM pay WHERE {TEST}) GROUP BY 1)""")
     + "SELECT key, id, true AS known FROM ts JOIN kn USING (key) UNION ALL SELECT key, (SELECT max(id) + 1 FROM kn) + row_number() OVER (ORDER BY f) - 1, false FROM ts WHERE key NOT IN (SELECT key FROM kn)",
     "positive_class_weight": P() + f"SELECT round((count(*) - sum(is_fraud))::DOUBLE / sum(is_fraud), 9) AS positive_weight FROM pay WHERE t_us < {S + 6 * DAY}",
     "f1_by_time_step": P(f"x AS (SELECT (t_us - {S}) // {DAY} AS day, is_fraud AS y, score >= 0.86 AS hit FROM pay), y2 AS (SELECT 'day ' || day AS part, y, hit FROM x UNION ALL SELECT CASE WHEN day < 5 THEN 'before' ELSE 'after' END, y, hit FROM x)")
     + "SELECT part, tp, fp, fn, round(CASE WHEN tp > 0 THEN 2.0*(tp::DOUBLE/(tp+fp))*(tp::DOUBLE/(tp+fn))/((tp::DOUBLE/(tp+fp))+(tp::DOUBLE/(tp+fn))) ELSE 0.0 END, 9) AS f1 FROM (SELECT part, count(*) FILTER (hit AND y=1) AS tp, count(*) FILTER (hit AND y=0) AS fp, count(*) FILTER (NOT hit AND y=1) AS fn FROM y2 GROUP BY 1)",
-    "breakeven_monte_carlo": P(DRAWS, "p AS (SELECT (fixed/(365*50.0::DOUBLE) + c + restricted*wrong)/(b + restricted*wrong) AS p FROM dr)") + "SELECT round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.25), 6) AS p25, round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.75), 6) AS p75, round(quantile_cont(p, 0.9), 6) AS p90 FROM p",
-    "breakeven_chance_by_precision": P(DRAWS) + "SELECT precision, round(avg(CASE WHEN 365*50.0::DOUBLE*(precision*b - c - (1-precision)*restricted*wrong) - fixed > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS chance_worth_it, count(*) AS draws FROM dr, (SELECT unnest([0.002,0.004,0.011,0.02,0.04,0.1,0.2]::DOUBLE[]) AS precision) GROUP BY 1",
-    "breakeven_scenarios": P("o AS (SELECT round(avg(s), 4) AS observed_money FROM (SELECT CAST(sum(amount_p) AS DOUBLE)/100 AS s FROM pay WHERE is_fraud=1 GROUP BY to_id))") + f"SELECT observed_money, z.* FROM o, ({arm('low', 0, 2)} UNION ALL {arm('central', 1, 1)} UNION ALL {arm('high', 2, 0)}) z",
+
 }

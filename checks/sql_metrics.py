@@ -97,7 +97,7 @@ SQL = {
   round(count(DISTINCT account_id) FILTER (role IN ('l1_mule','l2_mule'))::DOUBLE / count(DISTINCT account_id), 9) AS precision,
   round(count(DISTINCT account_id) FILTER (account_id IN (SELECT account_id FROM mules_all))::DOUBLE / (SELECT count(*) FROM mules_all), 9) AS recall,
   round(count(DISTINCT account_id) FILTER (detector <> 'model_only' AND account_id IN (SELECT account_id FROM mules_all))::DOUBLE / (SELECT count(*) FROM mules_all), 9) AS recall_rules FROM lv""",
-    "false_accounts_per_day": A() + f"""SELECT detector, coalesce(kind, '?') AS kind, count(*) AS accounts, round(count(*) / 9.0::DOUBLE, 9) AS per_day FROM (
+    "false_accounts_per_day": A() + f"""SELECT detector, coalesce(kind, '?') AS kind, count(*) AS accounts, round(count(*) / greatest(1, ((SELECT max(t_us) FROM pay) - {D0}) // {DAY})::DOUBLE, 9) AS per_day FROM (
   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY created_us, created_row, list_position(['inflow_new_payers','structuring','fan_in_new_payers','pass_through','hop_from_flagged','model_only'], detector)) AS k FROM alerts) a
   LEFT JOIN v_accounts v USING (account_id) WHERE k = 1 AND coalesce(role, '') NOT IN ('l1_mule','l2_mule') AND created_us >= {D0 + DAY} GROUP BY 1, 2""",
     "rule_and_model_account_sets": A("r2.0", f"b AS (SELECT DISTINCT account_id FROM alerts WHERE {TESTC})") + """SELECT 'rule_or_model' AS set_name, count(*) AS n FROM b

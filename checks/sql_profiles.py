@@ -37,7 +37,7 @@ def win(side: str, w: int) -> str:
 
 
 APPL = "ap AS (SELECT DISTINCT s.account_id FROM seen s WHERE vpa IN (SELECT vpa FROM v_entity_accounts))"
-CP = "cp AS (SELECT DISTINCT account_id, other_id FROM lg WHERE account_id <> other_id), fl AS (SELECT DISTINCT account_id FROM alerts WHERE detector = 'structuring')"
+CP = "cp AS (SELECT DISTINCT account_id, other_id FROM lg WHERE account_id <> other_id), fl AS (SELECT DISTINCT account_id FROM alerts WHERE status NOT IN ('cleared', 'superseded'))"
 ONB = f"""{APPL}, {CP},
 dir AS (SELECT cp.account_id, count(*) AS direct FROM cp JOIN fl ON fl.account_id = cp.other_id GROUP BY 1),
 sec AS (SELECT a.account_id, count(DISTINCT b.other_id) AS second_hop FROM ap JOIN cp a USING (account_id) JOIN cp b ON b.account_id = a.other_id JOIN fl ON fl.account_id = b.other_id
@@ -61,7 +61,7 @@ SQL = {
     "vpa_directory": P(SEEN) + "SELECT * FROM seen",
     "handle_resolution": P(V_ACCOUNTS, SEEN) + """SELECT handle, coalesce(CASE WHEN handle IN (SELECT account_id FROM v_accounts UNION SELECT from_id FROM pay UNION SELECT to_id FROM pay) THEN handle END, s.account_id, a.account_id) AS account_id
   FROM (SELECT account_id AS handle FROM v_accounts UNION ALL SELECT vpa FROM v_accounts UNION ALL SELECT 'zz' || vpa FROM v_accounts) h LEFT JOIN seen s ON s.vpa = handle LEFT JOIN v_accounts a ON a.vpa = handle""",
-    "payments_with_labels": P(V_ACCOUNTS) + "SELECT coalesce(role, 'unknown') AS role, coalesce(kind, 'individual') AS kind, count(*) AS n FROM (SELECT CASE WHEN row % 97 = 0 THEN 'N' || to_id ELSE to_id END AS account_id FROM pay WHERE row % 3 > 0 OR to_id <> 'A1') LEFT JOIN v_accounts USING (account_id) GROUP BY 1, 2",
+    "payments_with_labels": P(V_ACCOUNTS) + "SELECT coalesce(role, 'unknown') AS role, coalesce(kind, 'individual') AS kind, count(*) AS n FROM (SELECT CASE WHEN row % 97 = 0 THEN 'N' || to_id ELSE to_id END AS account_id FROM pay) LEFT JOIN v_accounts USING (account_id) GROUP BY 1, 2",
     "degree_and_velocity": P(LEGS) + "SELECT account_id, i AS in_degree, o AS out_degree, round(i::DOUBLE/m, 3) AS in_velocity, round(o::DOUBLE/m, 3) AS out_velocity FROM (SELECT *, greatest(max(i) OVER (), max(o) OVER (), 1) AS m FROM (SELECT account_id, count(*) FILTER (dir='in') AS i, count(*) FILTER (dir='out') AS o FROM lg GROUP BY 1))",
     "money_trail_sources": P(LEGS, trail("in", 6)) + "SELECT account_id, party, amount_p, n, round(top_score, 9) AS top_score FROM tr",
     "money_trail_destinations": P(LEGS, trail("out", 5), trail("out", 3, "nx")) + "SELECT tr.account_id, tr.party, tr.amount_p, tr.n, nx.party AS next_party, nx.amount_p AS next_p FROM tr LEFT JOIN nx ON nx.account_id = tr.party",
@@ -74,7 +74,7 @@ SQL = {
   CASE WHEN self_flagged THEN 'itself under alert' WHEN direct > 0 THEN 'direct links to flagged accounts: ' || direct WHEN g >= 0.9 THEN 'high model score on a transfer' WHEN second_hop > 0 THEN 'second-hop links only: ' || second_hop ELSE 'no links' END AS reason FROM onb""",
     "onboarding_second_hop": A("r2.0", LEGS, SEEN, V_REGISTRY, ONB) + "SELECT account_id, direct, second_hop FROM onb",
     "account_status": A("r2.0", SEEN, V_REGISTRY) + "SELECT v.vpa, s.account_id, s.account_id IS NOT NULL AS seen, coalesce(n, 0) > 0 AS flagged, false AS held, coalesce(n, 0) AS live_alerts FROM (SELECT DISTINCT vpa FROM v_entity_accounts) v LEFT JOIN seen s USING (vpa) LEFT JOIN (SELECT account_id, count(*) AS n FROM alerts WHERE status <> 'cleared' GROUP BY 1) USING (account_id)",
-    "evidence_pack": A("r2.0", "mb AS (SELECT DISTINCT v.state AS case_id, account_id FROM alerts JOIN v_accounts v USING (account_id) WHERE detector = 'structuring')") + """SELECT case_id, count(*) AS transactions, count(*) FILTER (i AND o) AS links, CAST(coalesce(sum(amount_p) FILTER (i AND NOT o), 0) AS BIGINT) AS money_in_p, CAST(coalesce(sum(amount_p) FILTER (o AND NOT i), 0) AS BIGINT) AS exited_p
+    "evidence_pack": A("r2.0", "mb AS (SELECT DISTINCT v.state AS case_id, account_id FROM alerts JOIN v_accounts v USING (account_id) WHERE status NOT IN ('cleared', 'superseded'))") + """SELECT case_id, count(*) AS transactions, count(*) FILTER (i AND o) AS links, CAST(coalesce(sum(amount_p) FILTER (i AND NOT o), 0) AS BIGINT) AS money_in_p, CAST(coalesce(sum(amount_p) FILTER (o AND NOT i), 0) AS BIGINT) AS exited_p
   FROM (SELECT c.case_id, p.*, EXISTS (SELECT 1 FROM mb WHERE mb.case_id = c.case_id AND mb.account_id = p.to_id) AS i, EXISTS (SELECT 1 FROM mb WHERE mb.case_id = c.case_id AND mb.account_id = p.from_id) AS o FROM (SELECT DISTINCT case_id FROM mb) c, pay p) WHERE i OR o GROUP BY 1""",
     "evidence_timeline": A("r2.0", ACTIONS) + "SELECT account_id, created_us AS at_us, 'alert' AS kind, detector || ' (' || severity || ')' AS text FROM alerts UNION ALL SELECT account_id, at_us, 'action', 'analyst: ' || action || '. ' || note FROM ac WHERE note <> ''",
     "alert_status_after_actions": A("r2.0", ACTIONS, AFTER) + "SELECT detector, account_id, status, status = 'cleared' AND gnn_max >= 0.86 AS override FROM aft",
@@ -91,7 +91,7 @@ SQL = {
     "recent_payments": P() + "SELECT row, from_id, to_id, amount, channel FROM pay ORDER BY t_us DESC, row DESC LIMIT 60",
     "downstream_transfers": P() + "SELECT from_id AS account_id, rk, to_vpa, to_state, amount, layer FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY t_us, row) AS rk FROM pay) WHERE rk <= 20",
     "chain_legs": A("r2.0", LEGS) + "SELECT account_id, rk, row, dir FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY t_us, row, dir) AS rk FROM lg WHERE account_id IN (SELECT account_id FROM alerts)) WHERE rk <= 12",
-    "chain_request_nodes": A("r2.0", LEGS, SEEN, """cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY t_us, row, dir) AS rk FROM lg WHERE account_id IN (SELECT account_id FROM alerts WHERE detector='structuring')) WHERE rk <= 12),
+    "chain_request_nodes": A("r2.0", LEGS, SEEN, """cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY t_us, row, dir) AS rk FROM lg WHERE account_id IN (SELECT account_id FROM alerts WHERE status NOT IN ('cleared', 'superseded'))) WHERE rk <= 12),
   nm AS (SELECT cl.account_id AS chain, rk, coalesce(s.account_id, 'ext:' || v) AS node FROM (SELECT *, CASE WHEN row % 5 = 0 THEN 'new' || other_vpa ELSE other_vpa END AS v FROM cl) cl LEFT JOIN seen s ON s.vpa = v)""")
     + "SELECT chain, node, row_number() OVER (PARTITION BY chain ORDER BY min(rk)) AS node_no FROM nm GROUP BY 1, 2",
     "peer_busiest_day_p95": P(V_ACCOUNTS) + f"SELECT kind, round(quantile_cont(b/100.0::DOUBLE, 0.95), 4) AS p95 FROM (SELECT to_id AS account_id, max(s) AS b FROM (SELECT to_id, day, sum(amount_p)::DOUBLE AS s FROM pay WHERE channel='P2P' AND t_us < {S + 6 * DAY} GROUP BY 1, 2) GROUP BY 1) JOIN v_accounts USING (account_id) GROUP BY 1",

@@ -23,7 +23,7 @@ KEY = "trim(regexp_replace(regexp_replace(regexp_replace(replace(upper({0}), '.'
 CINOK = "regexp_matches({0}, '^[LU][0-9]{{5}}[A-Z]{{2}}[0-9]{{4}}[A-Z]{{3}}[0-9]{{6}}$')"
 REG = f"""cur_d AS (SELECT * FROM v_directorships WHERE ceased_on IS NULL OR ceased_on > DATE '2026-09-28'),
 ak AS (SELECT cin, {KEY.format('address')} AS k FROM v_companies),
-fv AS (SELECT e.cin, e.vpa FROM v_entity_accounts e JOIN seen s USING (vpa) WHERE s.account_id IN (SELECT account_id FROM alerts WHERE detector = 'structuring')),
+fv AS (SELECT e.cin, e.vpa FROM v_entity_accounts e JOIN seen s USING (vpa) WHERE s.account_id IN (SELECT account_id FROM alerts WHERE status NOT IN ('cleared', 'superseded'))),
 cc AS (SELECT a.cin, b.cin AS other FROM cur_d a JOIN cur_d b ON a.din = b.din AND a.cin <> b.cin GROUP BY 1, 2 HAVING count(DISTINCT a.din) >= 2),
 ccn AS (SELECT x.cin, count(*) AS group_n, count(*) FILTER (abs(date_diff('day', a.incorporated_on, b.incorporated_on)) <= 365) AS batch_n FROM cc x JOIN v_companies a ON a.cin = x.cin JOIN v_companies b ON b.cin = x.other GROUP BY 1),
 lk AS (SELECT DISTINCT a.cin, f.cin AS other, f.vpa FROM (SELECT cin, cin AS other FROM apl UNION SELECT c.cin, d.cin FROM cur_d c JOIN v_directorships d USING (din) UNION SELECT a.cin, b.cin FROM ak a JOIN ak b USING (k)) a JOIN fv f ON f.cin = a.other),

@@ -19,6 +19,8 @@ PRIMARY = ("inflow_new_payers", "structuring", "fan_in_new_payers", "pass_throug
 SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 LEVEL_ACTION = {0: "alert_only", 1: "delay_settlement", 2: "hold_outbound", 3: "full_hold"}
 LEVEL_HOURS = {1: 1, 2: 24, 3: 72}
+#: Alerts that still count.
+LIVE = "status NOT IN ('cleared', 'superseded')"
 MULE_ROLES = ("l1_mule", "l2_mule")
 # Evaluation days relative to the first day of the data.
 SPLIT_DAYS = {"train": (0, 6), "val": (6, 8), "test": (8, 10)}

@@ -55,7 +55,11 @@ def restrictions(spark, sf):
 @query("policy_outcome")
 def outcome(spark, sf):
     f, r = _policy(spark, sf)
-    return Rp.policy_outcome(V.payments(spark, sf), f, r, V.accounts(spark, sf), V.BASE_US + 10 * DAY)
+    p = V.payments(spark, sf)
+    last = p.agg(F.max("t_us")).first()[0]
+    # the run ends with the last day that has a payment
+    end = V.BASE_US if last is None else V.BASE_US + ((last - V.BASE_US) // DAY + 1) * DAY
+    return Rp.policy_outcome(p, f, r, V.accounts(spark, sf), end)
 
 
 def filed(spark, sf) -> DataFrame:

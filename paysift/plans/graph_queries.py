@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import graph as Gr
 from ..operators import metrics as M
 from ..operators import models as Md
-from ..params import DAY, R20
+from ..params import DAY, LIVE, R20
 from ..session import cut
 from ..sources import files
 from . import views as V
@@ -31,7 +31,7 @@ def edges(spark, sf) -> DataFrame:
 
 
 def seeds(spark, sf) -> DataFrame:
-    return stored_alerts(spark, sf).where("detector = 'structuring'").select("account_id").distinct()
+    return stored_alerts(spark, sf).where(LIVE).select("account_id").distinct()
 
 
 def paths(spark, sf) -> DataFrame:
@@ -40,14 +40,14 @@ def paths(spark, sf) -> DataFrame:
 
 @query("downstream_paths")
 def downstream(spark, sf):
-    """The first 200 time-respecting paths of up to three hops out of each account under a structuring alert."""
+    """The first 200 time-respecting paths of up to three hops out of each account under a live alert."""
     p = paths(spark, sf)
     return p.select("seed", "path_no", F.array_join("nodes", ">").alias("nodes"), F.array_join(F.transform("legs", lambda x: x.r.cast("string")), ",").alias("rows"))
 
 
 @query("path_summary")
 def summary(spark, sf):
-    return Gr.path_summary(cut(paths(spark, sf)), stored_alerts(spark, sf).where("detector = 'structuring'"))
+    return Gr.path_summary(cut(paths(spark, sf)), stored_alerts(spark, sf).where(LIVE))
 
 
 @query("path_accounts_by_hop")
@@ -115,12 +115,13 @@ def ego(spark, sf):
 def paid(spark, sf):
     e = edges(spark, sf)
     s = e.groupBy(F.col("to_id").alias("account_id")).agg(F.max("score").alias("s"))
-    return Gr.paid_by_flagged(e.where("channel = 'P2P'"), s, 1.0)
+    return Gr.paid_by_flagged(e, s, 1.0)
 
 
 @query("spliced_node_ids")
 def splice(spark, sf):
-    """Accounts of the test days on the ids of the train days; unseen accounts get the next ids in first-seen order."""
+    """Accounts of the test days on the ids of those seen in the first six hours; unseen accounts get the next ids in
+    first-seen order."""
     e = edges(spark, sf)
     train = e.where(F.col("t_us") < V.BASE_US + DAY // 4)
     bucket = F.floor(F.col("row") / 65_536)
@@ -229,56 +230,3 @@ def permuted(spark, sf):
     c = files.global_index(t.select("amount", "h", "row"), ["h", "row"], F.shiftright("h", 52), "k").select("k", F.col("amount").alias("new_amount"))
     moved = b.join(c, "k").select("row", "new_amount")
     return edges(spark, sf).join(moved, "row", "left").select("row", S.log_amount(F.coalesce("new_amount", "amount")).alias("log_amount"))
-
-
-# Low, central and high of every cost assumption.
-COSTS = {
-    "money": (30_000.0, 115_800.0, 230_000.0), "share": (0.05, 0.15, 0.30), "minute": (502768 * 1.2 / (230 * 7 * 60), 502768 * 1.4 / (220 * 6.5 * 60), 502768 * 2.0 / (210 * 6 * 60)), "minutes": (5.0, 15.0, 30.0),
-    "restricted": (0.05, 0.15, 0.50), "wrong": (200.0, 600.0, 3000.0), "fixed": (5e5, 15e5, 40e5),
-}
-ALERTS_A_DAY = 50.0
-
-
-def triangular(u: Column, low: float, mode: float, high: float) -> Column:
-    """Inverse distribution function of the triangular distribution."""
-    cut_at = (mode - low) / (high - low)
-    return F.when(u < cut_at, low + F.sqrt(u * (high - low) * (mode - low))).otherwise(high - F.sqrt((1 - u) * (high - low) * (high - mode)))
-
-
-def _breakeven(b: Column, c: Column, h: Column, f: Column, k: Column) -> Column:
-    return (k / (365 * ALERTS_A_DAY) + c + h * f) / (b + h * f)
-
-
-def _draws(spark, sf) -> DataFrame:
-    p = V.payments(spark, sf).select("row")
-    d = p.select("row", *[triangular(F.conv(F.substring(F.md5(F.concat(F.col("row").cast("string"), F.lit(f"|{n}"))), 1, 8), 16, 10).cast("double") / 4294967296.0, *v).alias(n) for n, v in COSTS.items()])
-    return d.withColumn("b", F.col("money") * F.col("share")).withColumn("c", F.col("minute") * F.col("minutes"))
-
-
-@query("breakeven_monte_carlo")
-def monte_carlo(spark, sf):
-    """One draw of the cost assumptions per payment; percentiles of the precision at which the queue pays for itself."""
-    x = _draws(spark, sf).select(_breakeven(F.col("b"), F.col("c"), F.col("restricted"), F.col("wrong"), F.col("fixed")).alias("p"))
-    q = M.percentiles(x, "p", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
-    return q.select(*[F.round(n, 6).alias(n) for n in ("p10", "p25", "p50", "p75", "p90")])
-
-
-@query("breakeven_chance_by_precision")
-def chance(spark, sf):
-    x = _draws(spark, sf).select("*", F.explode(F.array(*[F.lit(p) for p in (0.002, 0.004, 0.011, 0.02, 0.04, 0.10, 0.20)])).alias("precision"))
-    p = F.col("precision")
-    net = 365 * ALERTS_A_DAY * (p * F.col("b") - F.col("c") - (1 - p) * F.col("restricted") * F.col("wrong")) - F.col("fixed")
-    return x.groupBy("precision").agg(F.round(F.avg((net > 0).cast("double")), 6).alias("chance_worth_it"), F.count(F.lit(1)).alias("draws"))
-
-
-@query("breakeven_scenarios")
-def scenarios(spark, sf):
-    """Pessimistic, central and optimistic assumptions, with the money per mule account observed in the payments."""
-    f = V.payments(spark, sf).where("is_fraud = 1").groupBy("to_id").agg(F.sum("amount_p").alias("p")).agg(F.round(F.avg(F.col("p") / 100), 4).alias("observed_money"))
-    def arm(name: str, good: int, bad: int) -> Column:
-        v = {n: F.lit(c[good if n in ("money", "share") else bad]) for n, c in COSTS.items()}
-        b, c = v["money"] * v["share"], v["minute"] * v["minutes"]
-        return F.struct(F.lit(name).alias("scenario"), F.round(_breakeven(b, c, v["restricted"], v["wrong"], F.lit(0.0)), 5).alias("per_alert"), F.round(_breakeven(b, c, v["restricted"], v["wrong"], v["fixed"]), 5).alias("with_fixed"))
-    return f.select("observed_money", F.inline(F.array(arm("low", 0, 2), arm("central", 1, 1), arm("high", 2, 0))))
-
-

@@ -13,7 +13,7 @@ from ..session import cut
 from . import views as V
 
 QUERIES = {}
-START, DAYS = V.BASE_US, 10
+START = V.BASE_US
 T0, T1 = START + P10.test_days[0] * DAY, START + P10.test_days[1] * DAY
 
 
@@ -73,8 +73,14 @@ def hold(spark, sf):
     return Mr.holds(stored_alerts(spark, sf))
 
 
+def _days(spark, sf) -> int:
+    """Days from the start to the last payment or collect request: the length of the settlement calendar."""
+    last = V.merchant_payments(spark, sf).agg(F.max("t_us").alias("t")).union(V.collects(spark, sf).agg(F.max("resolved_us"))).agg(F.max("t")).first()[0]
+    return 1 if last is None else max(1, (last - START) // DAY + 1)
+
+
 def _status(spark, sf):
-    return Mr.batch_status(V.merchants(spark, sf), Mr.holds(stored_alerts(spark, sf)), START, DAYS)
+    return Mr.batch_status(V.merchants(spark, sf), Mr.holds(stored_alerts(spark, sf)), START, _days(spark, sf))
 
 
 @query("settlement_assignment")

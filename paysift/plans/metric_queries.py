@@ -263,9 +263,11 @@ def false_accounts(spark, sf):
     """Alerted accounts that are not mules, from day 1 on, by first detector and kind."""
     first = stored_alerts(spark, sf).groupBy("account_id").agg(F.min(F.struct("created_us", "created_row", A.detector_order().alias("o"), "detector")).alias("f"))
     a = V.accounts(spark, sf).select("account_id", "role", "kind")
+    # the days of the data after the first
+    days = max(1, ((V.payments(spark, sf).agg(F.max("t_us")).first()[0] or D0) - D0) // DAY)
     x = first.join(a, "account_id", "left").where(~F.coalesce(A.is_mule(F.col("role")), F.lit(False)) & (F.col("f.created_us") >= D0 + DAY))
     return x.groupBy(F.col("f.detector").alias("detector"), F.coalesce("kind", F.lit("?")).alias("kind")).agg(F.count(F.lit(1)).alias("accounts")).withColumn(
-        "per_day", F.round(F.col("accounts") / 9, 9))
+        "per_day", F.round(F.col("accounts") / F.lit(days), 9))
 
 
 @query("rule_and_model_account_sets")

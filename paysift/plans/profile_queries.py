@@ -11,7 +11,7 @@ from ..operators import detectors as D
 from ..operators import profiles as P
 from ..operators.metrics import percentiles
 from ..operators.running import global_index
-from ..params import HOUR
+from ..params import HOUR, LIVE
 from ..session import cut
 from . import views as V
 from .account_queries import evidence, stored_alerts
@@ -84,7 +84,7 @@ def handles(spark, sf):
 @query("payments_with_labels")
 def labelled(spark, sf):
     a = V.accounts(spark, sf).select(F.col("account_id").alias("to_id"), "role", "bank", "kind")
-    x = V.payments(spark, sf).where("row % 3 > 0 OR to_id <> 'A1'").select("row", F.when(F.col("row") % 97 == 0, F.concat(F.lit("N"), F.col("to_id"))).otherwise(F.col("to_id")).alias("to_id"))
+    x = V.payments(spark, sf).select("row", F.when(F.col("row") % 97 == 0, F.concat(F.lit("N"), F.col("to_id"))).otherwise(F.col("to_id")).alias("to_id"))
     return x.join(a, "to_id", "left").groupBy(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("kind", F.lit("individual")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -123,7 +123,7 @@ def applicants(spark, sf):
 
 @query("onboarding_check")
 def onboarding(spark, sf):
-    al = stored_alerts(spark, sf).where(F.col("detector") == "structuring")
+    al = stored_alerts(spark, sf).where(LIVE)
     return P.onboarding_check(applicants(spark, sf), V.payments(spark, sf), al)
 
 
@@ -134,8 +134,8 @@ def status(spark, sf):
 
 @query("evidence_pack")
 def pack(spark, sf):
-    """Cases here are the accounts under a structuring alert, grouped by home state."""
-    m = stored_alerts(spark, sf).where("detector = 'structuring'").join(V.accounts(spark, sf).select("account_id", "state"), "account_id").select(F.col("state").alias("case_id"), "account_id")
+    """Cases here are the accounts under a live alert, grouped by home state."""
+    m = stored_alerts(spark, sf).where(LIVE).join(V.accounts(spark, sf).select("account_id", "state"), "account_id").select(F.col("state").alias("case_id"), "account_id")
     return P.evidence_pack(V.payments(spark, sf), m)
 
 
@@ -234,7 +234,7 @@ def chain_legs(spark, sf):
 @query("chain_request_nodes")
 def chain_nodes(spark, sf):
     """Chain legs as scoring requests: one node per resolved account, unknown handles as ext:<vpa>; numbered per chain."""
-    al = stored_alerts(spark, sf).where("detector = 'structuring'").select("account_id").distinct()
+    al = stored_alerts(spark, sf).where(LIVE).select("account_id").distinct()
     x = P.legs(V.payments(spark, sf)).join(al, "account_id", "left_semi")
     legs = P.top_k(x, ["account_id"], [F.col("t_us"), F.col("row"), F.col("dir")], 12).withColumn("vpa", F.when(F.col("row") % 5 == 0, F.concat(F.lit("new"), F.col("other_vpa"))).otherwise(F.col("other_vpa")))
     named = legs.join(P.first_seen_vpas(V.payments(spark, sf)).withColumnRenamed("account_id", "known"), "vpa", "left").withColumn("node", F.coalesce("known", F.concat(F.lit("ext:"), "vpa")))
@@ -253,7 +253,7 @@ def sample_feed(spark, sf):
 
 @query("onboarding_second_hop")
 def second_hop(spark, sf):
-    """Second-hop sets: neighbours of neighbours among structuring-flagged accounts, minus direct ones and self."""
+    """Second-hop sets: neighbours of neighbours among accounts under a live alert, minus direct ones and self."""
     return onboarding(spark, sf).select("account_id", "direct", "second_hop")
 
 

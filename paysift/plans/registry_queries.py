@@ -11,7 +11,7 @@ from ..functions import registry_text as R
 from ..functions import scalars as S
 from ..operators import profiles as P
 from ..operators import registry as G
-from ..params import DAY, SPLIT_DAYS
+from ..params import DAY, LIVE, SPLIT_DAYS
 from ..session import checkpoint_dir, cut
 from ..sources import files, registry_files, wire
 from . import views as V
@@ -323,7 +323,7 @@ def severity(spark, sf):
 
 
 def flagged_vpas(spark, sf) -> DataFrame:
-    st = P.account_status(V.entity_accounts(spark, sf), P.first_seen_vpas(V.payments(spark, sf)), stored_alerts(spark, sf).where("detector = 'structuring'"))
+    st = P.account_status(V.entity_accounts(spark, sf), P.first_seen_vpas(V.payments(spark, sf)), stored_alerts(spark, sf).where(LIVE))
     return V.entity_accounts(spark, sf).join(st.where("flagged").select("vpa"), "vpa", "left_semi").select("cin", "vpa")
 
 
