@@ -87,18 +87,18 @@ def edited_text(text: str, following: str) -> str:
 
 
 COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_TYPES = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
-_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, edge string, text string"
+_TYPES = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
+_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, part int, edge string, text string"
 
 
-def _hex(a: np.ndarray) -> str:
-    return a.astype(">u4").tobytes().hex()
+def packed(a: np.ndarray) -> bytes:
+    return a.astype(">u4").tobytes()
 
 
 def _row(doc, text: str, own: np.ndarray, following: str, other: np.ndarray) -> tuple:
     edited = edited_text(text, following)
     changed = sketch(edited)
-    return (doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), _hex(own), _hex(changed), likeness(own, changed), likeness(own, other), None, None, None)
+    return (doc, len(text), hashlib.sha256(edited.encode()).digest(), packed(own), packed(changed), likeness(own, changed), likeness(own, other), None, None, None)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -152,4 +152,5 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
     chain = found.where("edge = 'head'").select("part").withColumn("to", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))))
     tails = found.where("edge = 'tail'").join(chain, "part").select("doc_id", "text", "to")
     joined = tails.join(heads, tails["to"] == heads["part"]).select("doc_id", "text", "following")
-    return found.where("edge is null").select(*COLUMNS).unionByName(joined.mapInArrow(_across, _SCHEMA).select(*COLUMNS))
+    rows = found.where("edge is null").select(*COLUMNS).unionByName(joined.mapInArrow(_across, _SCHEMA).select(*COLUMNS))
+    return rows.select(*[F.lower(F.hex(c)).alias(c) if c in ("edited_sha256", "fingerprint", "edited_fingerprint") else F.col(c) for c in COLUMNS])
