@@ -86,7 +86,10 @@ SQL = {
     "alert_explanations": A("r2.0", """fl2 AS (SELECT f.*, row_number() OVER (PARTITION BY detector, account_id ORDER BY t_us DESC, row DESC) AS k FROM fires f)""") + """SELECT detector, account_id,
   CASE detector WHEN 'inflow_new_payers' THEN people || ' new payers sent ' || printf('%.2f', total_p/100.0::DOUBLE) || ' within ' || (w_us // 3600000000) || ' h' WHEN 'structuring' THEN hits || ' transfers near the cap from ' || people || ' payers, ' || printf('%.2f', total_p/100.0::DOUBLE)
     ELSE 'received ' || printf('%.2f', total_p/100.0::DOUBLE) || ', sent ' || printf('%.2f', out_p/100.0::DOUBLE) || ' to ' || people || ' accounts within ' || (w_us // 3600000000) || ' h' END AS reason,
-  'people=' || people || '; total=' || printf('%.2f', total_p/100.0::DOUBLE) || '; transfers=' || hits AS facts FROM fl2 WHERE k = 1""",
+  'people=' || people || '; total=' || printf('%.2f', total_p/100.0::DOUBLE) || '; transfers=' || hits AS facts FROM fl2 WHERE k = 1
+  UNION ALL SELECT detector, account_id, CASE detector WHEN 'hop_from_flagged' THEN people || ' accounts under alert sent ' || printf('%.2f', total_p/100.0::DOUBLE) || ' in ' || hits || ' transfers'
+    ELSE 'model score of ' || CAST(floor(gnn_max * 100) AS BIGINT) || '% or more on ' || hits || ' transfers, ' || printf('%.2f', total_p/100.0::DOUBLE) END,
+  'people=' || people || '; total=' || printf('%.2f', total_p/100.0::DOUBLE) || '; transfers=' || hits FROM alerts WHERE detector IN ('hop_from_flagged', 'model_only')""",
     "turnaround_first_in_first_out": P(LEGS) + "SELECT l.account_id, round((min(t_us) - min(f))/1e6, 6) AS seconds FROM lg l JOIN (SELECT account_id, min(t_us) AS f FROM lg WHERE dir='in' GROUP BY 1) i ON i.account_id = l.account_id AND l.t_us >= f WHERE dir='out' GROUP BY 1",
     "recent_payments": P() + "SELECT row, from_id, to_id, amount, channel FROM pay ORDER BY t_us DESC, row DESC LIMIT 60",
     "downstream_transfers": P() + "SELECT from_id AS account_id, rk, to_vpa, to_state, amount, layer FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY t_us, row) AS rk FROM pay) WHERE rk <= 20",

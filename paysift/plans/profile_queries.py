@@ -189,14 +189,16 @@ def alert_order(spark, sf):
 
 @query("alert_explanations")
 def explain(spark, sf):
-    """Reason text and fact list from the aggregates of the last firing."""
-    a = stored_alerts(spark, sf).where("detector IN ('inflow_new_payers', 'structuring', 'pass_through')")
+    """Reason text and fact list of every alert, from the aggregates of its last firing (or of its evidence)."""
+    a = stored_alerts(spark, sf)
     hours = F.concat((F.col("w_us") / HOUR).cast("int").cast("string"), F.lit(" h"))
     money = F.format_string("%.2f", F.col("total_p") / 100)
     out = F.format_string("%.2f", F.col("out_p") / 100)
     text = (
-        F.when(F.col("detector") == "inflow_new_payers", F.concat(F.col("people").cast("string"), F.lit(" new payers sent "), money, F.lit(" within "), hours))
+        F.when(F.col("detector").isin("inflow_new_payers", "fan_in_new_payers"), F.concat(F.col("people").cast("string"), F.lit(" new payers sent "), money, F.lit(" within "), hours))
         .when(F.col("detector") == "structuring", F.concat(F.col("hits").cast("string"), F.lit(" transfers near the cap from "), F.col("people").cast("string"), F.lit(" payers, "), money))
+        .when(F.col("detector") == "hop_from_flagged", F.concat(F.col("people").cast("string"), F.lit(" accounts under alert sent "), money, F.lit(" in "), F.col("hits").cast("string"), F.lit(" transfers")))
+        .when(F.col("detector") == "model_only", F.concat(F.lit("model score of "), F.floor(F.col("gnn_max") * 100).cast("string"), F.lit("% or more on "), F.col("hits").cast("string"), F.lit(" transfers, "), money))
         .otherwise(F.concat(F.lit("received "), money, F.lit(", sent "), out, F.lit(" to "), F.col("people").cast("string"), F.lit(" accounts within "), hours)))
     facts = F.array(F.struct(F.lit("people").alias("label"), F.col("people").cast("string").alias("value")), F.struct(F.lit("total").alias("label"), money.alias("value")), F.struct(F.lit("transfers").alias("label"), F.col("hits").cast("string").alias("value")))
     return a.select("detector", "account_id", text.alias("reason"), F.array_join(F.transform(facts, lambda f: F.concat(f.label, F.lit("="), f.value)), "; ").alias("facts"))
