@@ -104,6 +104,8 @@ SQL = {
   FROM (SELECT day, coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS bf, sum(n) OVER ()::DOUBLE AS t FROM (SELECT (t_us - {S}) // {DAY} AS day, count(*) AS n FROM pay GROUP BY 1)) a
   JOIN (SELECT day, coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS bf FROM (SELECT (t_us - {S}) // {DAY} AS day, count(*) AS n FROM pay GROUP BY 1)) b ON a.day < b.day) ORDER BY error, i, j LIMIT 1""",
     "daily_illicit_ratio": P() + f"SELECT (t_us - {S}) // {DAY} AS day, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS illicit, round(sum(is_fraud)::DOUBLE/count(*), 9) AS ratio FROM pay GROUP BY 1",
+    "sample_feed": P() + """SELECT row, is_fraud, from_id, to_id, score, CASE WHEN score >= 0.9 THEN 'High mule probability' WHEN score >= 0.6 THEN 'Elevated risk' ELSE 'Nominal' END AS band FROM (SELECT * FROM pay WHERE is_fraud = 1 ORDER BY row LIMIT 30)
+  UNION ALL SELECT row, is_fraud, from_id, to_id, score, CASE WHEN score >= 0.9 THEN 'High mule probability' WHEN score >= 0.6 THEN 'Elevated risk' ELSE 'Nominal' END AS band FROM (SELECT * FROM pay WHERE is_fraud = 0 ORDER BY md5('7|' || row) LIMIT 30)""",
     "stratified_split": P() + "SELECT row, CASE WHEN k*10 <= n*6 THEN 'train' WHEN k*10 <= n*8 THEN 'val' ELSE 'test' END AS part FROM (SELECT row, row_number() OVER (PARTITION BY is_fraud ORDER BY md5('42|' || row)) AS k, count(*) OVER (PARTITION BY is_fraud) AS n FROM pay)",
     "score_comparison": P("x AS (SELECT a, b, abs(a - b) AS d FROM (SELECT score AS a, floor(score*100 + 0.5)/100 AS b FROM pay))") + "SELECT round(max(d), 6) AS max_diff, round(avg(d), 6) AS mean_diff, count(*) FILTER ((a >= 0.5) <> (b >= 0.5)) AS flips, round(quantile_cont(d, 0.99), 6) AS p99_diff FROM x",
     "feedback_labels": A("r2.0", ACTIONS, LAB) + "SELECT row, label FROM lab",

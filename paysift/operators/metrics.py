@@ -18,8 +18,8 @@ from .running import cumulative
 
 
 def value_bucket(v: Column) -> Column:
-    """A bucket number that never decreases with v, about 1.6% wide at any magnitude."""
-    return (F.signum(v) * F.ceil(F.log1p(F.abs(v)) * 64)).cast("bigint")
+    """A bucket number that never decreases with v, at most 0.025% wide: some 3,000 buckets for values in 0..1."""
+    return (F.signum(v) * F.ceil(F.log1p(F.abs(v)) * 4096)).cast("bigint")
 
 
 def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

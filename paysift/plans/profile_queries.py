@@ -249,7 +249,7 @@ def sample_feed(spark, sf):
     """First 30 fraud rows and a seeded pick of 30 clean ones (a sampling operator)."""
     p = V.payments(spark, sf).select("row", "is_fraud", "from_id", "to_id", "score")
     fraud = p.where("is_fraud = 1").orderBy("row").limit(30)
-    clean = p.where("is_fraud = 0").orderBy(F.xxhash64("row", F.lit(7))).limit(30)
+    clean = p.where("is_fraud = 0").orderBy(F.md5(F.concat(F.lit("7|"), F.col("row").cast("string")))).limit(30)
     return fraud.unionByName(clean).withColumn("band", S.score_band(F.col("score")))
 
 

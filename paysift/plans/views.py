@@ -63,9 +63,14 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ACCOUNT_CHUNK = 100_000
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = account_total(spark, sf_dir)
-    a = n.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("a"))
+    # in chunks, so that neither one row nor one task makes them all
+    chunks = n.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / ACCOUNT_CHUNK))).alias("c")).repartition("c")
+    a = chunks.select(F.explode(F.sequence(F.col("c") * ACCOUNT_CHUNK, F.least(F.col("n"), (F.col("c") + 1) * ACCOUNT_CHUNK) - 1)).alias("a"))
     m20, m10 = F.col("a") % 20, F.col("a") % 10
     s = F.col("a").cast("string")
     return a.select(

@@ -25,7 +25,10 @@ class Tools:
 
     def account_profile(self, vpa: str) -> DataFrame:
         a = self._account(vpa)
-        mine = self.payments.join(a.select(F.col("account_id").alias("k")), (F.col("from_id") == F.col("k")) | (F.col("to_id") == F.col("k")), "left_semi")
+        sent = self.payments.join(a.select(F.col("account_id").alias("from_id")), "from_id", "left_semi")
+        # a payment to itself is among those sent
+        got = self.payments.where(~F.col("from_id").eqNullSafe(F.col("to_id"))).join(a.select(F.col("account_id").alias("to_id")), "to_id", "left_semi")
+        mine = sent.unionByName(got)
         return P.profile(mine).join(a, "account_id").join(self.accounts.select("account_id", "role", "bank"), "account_id", "left")
 
     def downstream(self, vpa: str, limit: int = 20) -> DataFrame:
