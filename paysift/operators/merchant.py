@@ -168,10 +168,15 @@ def batch_log(pays: DataFrame, status: DataFrame, start_us: int) -> DataFrame:
     """One row per merchant and batch with money due: held or settled."""
     daily = pays.groupBy("merchant_id", F.floor((F.col("t_us") - start_us) / DAY).alias("day")).agg(
         F.count(F.lit(1)).alias("payments"), F.sum("amount_p").alias("amount_p"), F.sum(F.when(F.col("is_fraud") == 1, F.col("amount_p")).otherwise(0)).alias("fraud_p"))
-    x = daily.join(settle_days(status), ["merchant_id", "day"]).join(status.select("merchant_id", "batch", "batch_us", "held", "until_us"), "merchant_id")
-    due = x.where("batch >= day + 1 AND (settled_batch IS NULL OR batch <= settled_batch)")
-    return due.groupBy("merchant_id", "batch", "held").agg(
-        F.sum("payments").alias("payments"), F.sum("amount_p").alias("amount_p"), F.sum("fraud_p").alias("fraud_p"), F.max(F.when(F.col("held"), F.col("until_us"))).alias("hold_until_us"))
+    x = daily.join(settle_days(status), ["merchant_id", "day"])
+    # a day's money is due from the batch after it and leaves after the batch that settles it: running sums over batches
+    sums = ("payments", "amount_p", "fraud_p")
+    comes = x.select("merchant_id", (F.col("day") + 1).cast("int").alias("batch"), *sums)
+    goes = x.where("settled_batch IS NOT NULL").select("merchant_id", (F.col("settled_batch") + 1).cast("int").alias("batch"), *[(-F.col(c)).alias(c) for c in sums])
+    change = comes.unionByName(goes).groupBy("merchant_id", "batch").agg(*[F.sum(c).alias(c) for c in sums])
+    w = Window.partitionBy("merchant_id").orderBy("batch")
+    due = status.join(change, ["merchant_id", "batch"], "left").select("merchant_id", "batch", "held", "until_us", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums])
+    return due.where("payments > 0").select("merchant_id", "batch", "held", *sums, F.when(F.col("held"), F.col("until_us")).alias("hold_until_us"))
 
 
 def day_stats(firsts: DataFrame, collects: DataFrame, pays: DataFrame, merchants: DataFrame, bars: DataFrame, start_us: int, rules: MerchantRules = P10) -> DataFrame:
