@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: At most so many labelled documents of each value of the decided category are fitted (a documented bound).
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2500
 DIM, FOLDS, PREFIXES, LEAST_DOCS = 1 << 20, 3, (4, 5, 6), 4
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,24 +53,26 @@ class Rows:
     """Documents as (row, column, count) triples over the features that LEAST_DOCS documents have."""
 
     def __init__(self, features: list[np.ndarray]):
-        pairs = [np.unique(f, return_counts=True) for f in features]
-        columns = np.concatenate([p[0] for p in pairs]) if pairs else np.empty(0, "int64")
-        counts = np.concatenate([p[1] for p in pairs]).astype("float32") if pairs else np.empty(0, "float32")
-        row = np.repeat(np.arange(len(pairs)), np.array([len(p[0]) for p in pairs], "int64"))
-        seen = np.bincount(columns, minlength=DIM) >= LEAST_DOCS
-        keep = seen[columns]
-        self.ids = np.flatnonzero(seen)
-        place = np.zeros(DIM, "int64")
+        seen = np.zeros(DIM, "int32")
+        for f in features:
+            seen[np.unique(f)] += 1
+        keep = seen >= LEAST_DOCS
+        self.n, self.ids = len(features), np.flatnonzero(keep)
+        place = np.zeros(DIM, "int32")
         place[self.ids] = np.arange(len(self.ids))
-        self.n = len(pairs)
-        self.by_row = self._sorted(row[keep], place[columns[keep]], counts[keep])
-        self.by_column = self._sorted(place[columns[keep]], row[keep], counts[keep])
+        pairs = [np.unique(place[f[keep[f]]], return_counts=True) for f in features]
+        column = np.concatenate([p[0] for p in pairs]) if pairs else np.empty(0, "int32")
+        count = np.concatenate([p[1].astype("float32") for p in pairs]) if pairs else np.empty(0, "float32")
+        row = np.repeat(np.arange(self.n, dtype="int32"), np.array([len(p[0]) for p in pairs], "int64"))
+        del pairs
+        self.by_row = self._sorted(row, column, count)
+        self.by_column = self._sorted(column, row, count)
 
     @staticmethod
     def _sorted(target: np.ndarray, other: np.ndarray, value: np.ndarray) -> tuple:
         order = np.argsort(target, kind="stable")
         groups, starts = np.unique(target[order], return_index=True)
-        return groups, starts, other[order], value[order].astype("float64")
+        return groups, starts, other[order], value[order]
 
     @staticmethod
     def _sum(side: tuple, x: np.ndarray, size: int) -> np.ndarray:
