@@ -174,12 +174,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     u = F.pmod(F.xxhash64("label_key"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col(f"label_{decided}") > 0, F.lit(most / max(most, counts.get(True, 1)))).otherwise(F.lit(most / max(most, counts.get(False, 1))))
     names = [f"label_{c}" for c in categories]
+    # a bounded number of keys and labels, so the texts stay where they are
+    taken = one.where(u < share).limit(3 * most)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.drop(columns="text").assign(features=[document_features(t).tobytes() for t in frame["text"]])
 
-    joined = docs.select(F.col(key).alias("label_key"), text_or_empty(text).alias("text")).join(one.where(u < share), "label_key").select("text", "label_key", *names)
+    joined = docs.select(F.col(key).alias("label_key"), text_or_empty(text).alias("text")).join(F.broadcast(taken), "label_key").select("text", "label_key", *names)
     found = joined.mapInPandas(features, "label_key bigint, " + ", ".join(f"{n} double" for n in names) + ", features binary")
     return found.limit(3 * most).toPandas().sort_values("label_key", kind="stable")
 
