@@ -18,6 +18,13 @@ from .common import slices, text_or_empty
 #: Tokens of a set: (coordinate, smallest hash under that coordinate's function). Two sets share a coordinate's token with
 #: probability equal to their Jaccard similarity.
 TOKENS = 64
+#: Runs that split on the same min-hash functions; the next as many have functions of their own. Two sets agree on a fixed share
+#: of one group's tokens, so more runs of that group do not help a pair which agrees on few of them.
+GROUP = 16
+#: The run is in the top RUN_BITS of a path, below the sign.
+RUN_BITS = 11
+RUNS = 1 << (RUN_BITS - 1)
+_LOW = np.uint64(64 - RUN_BITS)
 _R = np.random.default_rng(90210)
 _ODD = (_R.integers(0, 1 << 63, TOKENS, dtype="uint64") << np.uint64(1)) | np.uint64(1)
 _BYTE = _R.integers(0, 1 << 63, 256, dtype="uint64")
@@ -61,22 +68,57 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     return np.unique(_mix(out + np.uint64(width)))
 
 
-def tokens(items: np.ndarray) -> np.ndarray:
-    """TOKENS smallest hashes of a set, 32 bits each."""
+def _functions(group: int) -> np.ndarray:
+    if not group:
+        return _ODD
+    return (np.random.default_rng([90210, group]).integers(0, 1 << 63, TOKENS, dtype="uint64") << np.uint64(1)) | np.uint64(1)
+
+
+def tokens(items: np.ndarray, group: int = 0) -> np.ndarray:
+    """TOKENS smallest hashes of a set, 32 bits each, under the functions of a group of runs."""
+    odd = _functions(group)[:, None]
     best = np.full(TOKENS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for lo in range(0, len(items), 1 << 14):
-        best = np.minimum(best, (items[None, lo:lo + (1 << 14)] * _ODD[:, None]).min(1))
+        best = np.minimum(best, (items[None, lo:lo + (1 << 14)] * odd).min(1))
     return (best >> np.uint64(32)).astype("<u4")
 
 
+def _agreements(threshold: float) -> np.ndarray:
+    """The chance that a pair at the threshold agrees on k of its TOKENS tokens, by k."""
+    return np.array([math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k) for k in range(TOKENS + 1)])
+
+
+def least_agreement(threshold: float, recall: float) -> int:
+    """So many equal tokens that a pair at the threshold has fewer with at most a twentieth of the allowed misses."""
+    return int((np.cumsum(_agreements(threshold)) <= (1 - recall) / 20).sum())
+
+
+def missed(runs: int, depth: int, threshold: float) -> float:
+    """The chance that a pair at the threshold has not met after so many runs, when buckets needed `depth` splits.
+
+    A node is split on one token, or on two in a quarter of all nodes. A pair that agrees on k of TOKENS tokens stays
+    together at the split after i others with the chance 3/4 a + 1/4 (1 - (1 - a)^2), a = (k - i) / (TOKENS - i), as a token
+    splits a path only once. Runs of one group share k, which is binomial; groups are independent.
+    """
+    k, stay = np.arange(TOKENS + 1), np.ones(TOKENS + 1)
+    for i in range(max(1, depth)):
+        a = np.maximum(k - i, 0) / (TOKENS - i)
+        stay *= 0.75 * a + 0.25 * (1 - (1 - a) ** 2)
+    out = 1.0
+    for lo in range(0, runs, GROUP):
+        out *= float(_agreements(threshold) @ (1 - stay) ** min(GROUP, runs - lo))
+    return out
+
+
 def runs_needed(depth: int, threshold: float, recall: float) -> int:
     """Runs after which a pair at the threshold has met with the wanted probability, when buckets needed `depth` splits.
 
-    A node is split on one token, or on two in a quarter of all nodes; the chance to stay together once is then
-    3/4 J + 1/4 (1 - (1 - J)^2).
+    A twentieth of the allowed misses is left to the comparison of tokens before verification.
     """
-    stay = (0.75 * threshold + 0.25 * (1 - (1 - threshold) ** 2)) ** max(1, depth)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - stay))) if stay < 1 else 1
+    for runs in range(1, RUNS):
+        if missed(runs, depth, threshold) <= 0.95 * (1 - recall):
+            return runs
+    raise ValueError(f"a recall of {recall} at {threshold} with {depth} splits needs {RUNS} runs or more")
 
 
 def _coordinates(node: int) -> tuple[int, ...]:
@@ -89,11 +131,11 @@ def _coordinates(node: int) -> tuple[int, ...]:
 def _child(node: np.ndarray, coordinate: int, value: np.ndarray) -> np.ndarray:
     """The path of a child, with the run in its top bits."""
     h = _mix(_mix(value.astype("uint64") + np.uint64(coordinate << 32)) ^ node.view("uint64"))
-    return ((node.view("uint64") >> np.uint64(56) << np.uint64(56)) | (h >> np.uint64(8))).view("int64")
+    return ((node.view("uint64") >> _LOW << _LOW) | (h >> np.uint64(RUN_BITS))).view("int64")
 
 
 def root(run: int) -> int:
-    return (run << 56) | (int(_mix(np.array([run + 1], "uint64"))[0]) >> 8)
+    return (run << int(_LOW)) | (int(_mix(np.array([run + 1], "uint64"))[0]) >> RUN_BITS)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -192,8 +234,8 @@ def _first_here(rows: dict[str, list]) -> np.ndarray:
     return out
 
 
-def _likely(rows: dict[str, list], threshold: float, slack: float) -> np.ndarray:
-    """Pairs that meet here first, whose sizes allow the threshold and whose tokens agree on nearly that share."""
+def _likely(rows: dict[str, list], threshold: float, least: int) -> np.ndarray:
+    """Pairs that meet here first, whose sizes allow the threshold and which agree on `least` tokens."""
     ok = _first_here(rows)
     n = np.array(rows["n"], "float64")
     ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
@@ -202,7 +244,7 @@ def _likely(rows: dict[str, list], threshold: float, slack: float) -> np.ndarray
         same = np.zeros(ok.shape, "uint8")
         for c in range(TOKENS):
             same += table[:, c, None] == table[None, :, c]
-        ok &= same >= TOKENS * (threshold - slack)
+        ok &= same >= least
     return ok
 
 
@@ -224,13 +266,13 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return total[i, j].astype("int64")
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], threshold: float, slack: float) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], threshold: float, least: int) -> Iterator[pa.RecordBatch]:
     names = ["key", "bi", "bj", "b", "set_key", "keys"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
     out: dict[str, list] = {n: [] for n in names}
     for rows in _groups(batches):
         if len(rows["set_key"]) > 1:
-            ok = _likely(rows, threshold, slack)
+            ok = _likely(rows, threshold, least)
             for i in np.flatnonzero(ok.any(0) | ok.any(1)):
                 for n in names:
                     out[n].append(rows[n][i])
@@ -294,7 +336,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Documents with the same set of word n-grams are one set; set_id is its smallest doc_id. n_links is the number of other
     sets linked to it, class_id the smallest doc_id among all documents that links connect. Candidates come from a
-    chosen-path join, run until a pair at the threshold has met with probability `recall`; each candidate pair is verified
+    chosen-path join, run until a pair at the threshold has met with probability `recall` (averaged over how many tokens such
+    pairs agree on; more runs than paths can name raise an error); each candidate pair is verified
     exactly, once, in the first bucket that both share. Buckets of alike sets that splitting cannot make small are compared
     block by block. No pair is ever written: a bucket gives one row per set with its link count and a root.
     A null text, and a text without words, is alone with no links; texts shorter than `width` words are one n-gram; repeated
@@ -312,11 +355,24 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = cut(source.mapInArrow(describe, "doc_id bigint, row_key bigint, set_key binary, n int, tokens binary"))
     sets = cut(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("set_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
 
-    done, need, leaves = 0, runs_needed(2, threshold, recall), None
+    def fresh(group: int) -> DataFrame:
+        """The sets with tokens under another group's functions; the texts are not shuffled for them."""
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                items = [x for t in batch.column(0).to_pylist() if len(x := shingles(t, width))]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in items], pa.binary()), pa.array([tokens(x, group).tobytes() for x in items], pa.binary())], ["set_key", "tokens"])
+
+        return cut(source.select("text").mapInArrow(again, "set_key binary, tokens binary").groupBy("set_key").agg(F.first("tokens").alias("tokens")))
+
+    done, need, deepest, group, now, leaves = 0, runs_needed(2, threshold, recall), 2, 0, sets, None
     while done < need:
-        more, depth = _paths(sets, range(done, need), limit)
+        if done // GROUP != group:
+            group, now = done // GROUP, fresh(done // GROUP)
+        to = min(need, (group + 1) * GROUP)
+        more, depth = _paths(now, range(done, to), limit)
         leaves = cut(more) if leaves is None else leaves.unionByName(cut(more))
-        done, need = need, max(need, min(127, runs_needed(depth, threshold, recall)))
+        done, deepest = to, max(deepest, depth)
+        need = max(need, runs_needed(deepest, threshold, recall))
 
     blocks = F.ceil(F.col("at.size") / block).cast("int")
     mine = leaves.groupBy("set_key").agg(F.collect_list(F.struct("key", "size")).alias("all"))
@@ -324,8 +380,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     placed = placed.select(F.col("at.key").alias("key"), F.pmod(F.xxhash64("set_key"), blocks).cast("int").alias("b"), blocks.alias("nb"), "set_key", "n", "tokens", "keys")
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o", "nb")
     grouped = placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "set_key")
-    slack = 4.5 * math.sqrt(threshold * (1 - threshold) / TOKENS)
-    likely = cut(grouped.mapInArrow(lambda b: _candidates(b, threshold, slack), "key bigint, bi int, bj int, b int, set_key binary, keys array<bigint>"))
+    least = least_agreement(threshold, recall)
+    likely = cut(grouped.mapInArrow(lambda b: _candidates(b, threshold, least), "key bigint, bi int, bj int, b int, set_key binary, keys array<bigint>"))
 
     def itemise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -340,8 +396,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     names = components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set_key").agg(F.sum("links").alias("n_links"))
     linked = cut(sets.select("set_key", "set_id").join(names.withColumnRenamed("v", "set_key"), "set_key").join(counts, "set_key"))
-    least = linked.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    named = linked.join(least, "root").select("set_key", "class_id", "n_links", "root")
+    smallest = linked.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    named = linked.join(smallest, "root").select("set_key", "class_id", "n_links", "root")
     per_set = sets.select("set_key", "set_id").join(named, "set_key", "left").select("set_key", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "set_key").alias("class_key"))
     return rows.select("doc_id", "row_key", "set_key").join(per_set, "set_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "row_key", F.coalesce("class_key", F.unhex(F.hex("row_key"))).alias("class_key"))
 

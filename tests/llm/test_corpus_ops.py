@@ -218,6 +218,31 @@ def test_ngram_join(docs, rows, spark, limit, block):
     assert Counter(tuple(x) for x in got.collect()) == jaccard_classes(rows + near)
 
 
+@pytest.mark.parametrize("depth", [6, 12])
+def test_ngram_join_recall_in_deep_buckets(depth):
+    r, pairs, lost = np.random.default_rng(4), 2500, 0
+    runs = ngram_join.runs_needed(depth, 0.8, 0.9999)
+    for _ in range(pairs):
+        items = r.integers(0, 1 << 63, 402, dtype="uint64")
+        both = {}
+        for run in range(runs):
+            group = run // ngram_join.GROUP
+            if group not in both:  # 322 of 402 are common: just above 0.8
+                both[group] = [ngram_join.tokens(x, group) for x in (items[:362], items[40:])]
+            a, b = both[group]
+            front = [ngram_join.root(run)]
+            for _ in range(depth):
+                front = [int(ngram_join._child(np.array([n]), c, a[c:c + 1])[0]) for n in front for c in ngram_join._coordinates(n) if a[c] == b[c]]
+            if front:
+                break
+        else:
+            lost += 1
+    assert lost <= 3
+    assert ngram_join.missed(runs, depth, 0.8) <= 1e-4
+    with pytest.raises(ValueError):
+        ngram_join.runs_needed(12, 0.5, 0.9999)
+
+
 def test_keep_one(docs, rows, nothing):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
