@@ -15,8 +15,8 @@ from paysift.session import cut
 
 from .common import partitions_for, text_or_empty
 
-K, SKETCHES, SAMPLE = 6, 64, 256
-_ODD = (np.random.default_rng(20240601).integers(0, 1 << 63, SKETCHES, dtype="uint64") << np.uint64(1)) | np.uint64(1)
+K, SKETCHES, BLOCK = 6, 64, 4096
+_ODD = np.random.default_rng(20240601).integers(0, 1 << 32, SKETCHES, dtype="uint32") | np.uint32(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,42 +38,51 @@ def kmers(text: str, k: int = K) -> np.ndarray:
     return _mix(out + np.uint64(k))
 
 
-def sketch(text: str, k: int = K, length: int = 2, sketches: int = SKETCHES, sample: int = SAMPLE) -> np.ndarray:
+def elements(base: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of every k-mer with its occurrence number in the text."""
+    order = np.argsort(base, kind="stable")
+    ordered = base[order]
+    first = np.arange(len(base))
+    first[1:][ordered[1:] == ordered[:-1]] = 0
+    del ordered
+    number = np.empty(len(base), "uint64")
+    number[order] = (np.arange(len(base)) - np.maximum.accumulate(first)).astype("uint64")
+    return (_mix(base + number * _BASE) >> np.uint64(32)).astype("uint32")
+
+
+def smallest(element: np.ndarray, length: int, sketches: int) -> np.ndarray:
+    """(sketches x length) places of each sketch's elements of smallest hash, from blocks of elements with running minima."""
+    odd, top = _ODD[:sketches, None], np.uint32(0xFFFFFFFF)
+    best, places = np.full((sketches, length), 1 << 32), np.zeros((sketches, length), "int64")
+    room = np.empty((sketches, min(BLOCK, len(element))), "uint32")
+    for lo in range(0, len(element), BLOCK):
+        part = element[lo:lo + BLOCK]
+        hashed = np.multiply(part[None, :], odd, out=room[:, :len(part)])
+        row, values, found = np.arange(sketches), [best], [places]
+        for _ in range(min(length, len(part))):
+            pick = hashed.argmin(1)
+            values.append(hashed[row, pick][:, None].astype("int64"))
+            found.append(pick[:, None] + lo)
+            hashed[row, pick] = top
+        values, found = np.concatenate(values, 1), np.concatenate(found, 1)
+        least = np.argsort(values, axis=1, kind="stable")[:, :length]
+        best, places = np.take_along_axis(values, least, 1), np.take_along_axis(found, least, 1)
+    return places
+
+
+def sketch(text: str, k: int = K, length: int = 2, sketches: int = SKETCHES) -> np.ndarray:
     """`sketches` 32-bit hashes of the whole text.
 
-    The k-mers of the text are thinned to its `sample` distinct k-mers of smallest hash (all of them, if fewer), each
-    with all its places. A place's element is the k-mer with its occurrence number. For each sketch the `length` elements
-    of smallest hash are chosen, put back into text order, and the tuple of their k-mers is hashed.
+    A place's element is the k-mer with its occurrence number. For each sketch the `length` elements of smallest hash are
+    chosen among those of all places, put back into text order, and the tuple of their k-mers is hashed.
     """
     base = kmers(text, k)
-    n = len(base)
-    if not n:
+    if not len(base):
         return np.zeros(sketches, "uint32")
-    if n > sample:
-        low = np.unique(base[base < np.uint64(min(1.0, 4 * sample / n) * (2.0**64 - 4096))])
-        if len(low) < sample:
-            low = np.unique(base)
-        at = np.flatnonzero(base <= low[min(sample, len(low)) - 1])
-        base = base[at]
-    order = np.argsort(base, kind="stable")
-    first = np.searchsorted(base[order], base[order])
-    number = np.empty(len(base), "uint64")
-    number[order] = (np.arange(len(base)) - first).astype("uint64")
-    element = _mix(base + number * _BASE)
-    m, step, out = len(base), max(1, (1 << 20) // len(base)), np.empty(sketches, "uint64")
-    for lo in range(0, sketches, step):
-        odd = _ODD[lo:min(sketches, lo + step), None]
-        hashed = element[None, :] * odd
-        hashed ^= hashed >> np.uint64(32)
-        row, picks = np.arange(len(odd)), []
-        for _ in range(min(length, m)):
-            picks.append(hashed.argmin(1))
-            hashed[row, picks[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        total = np.zeros(len(odd), "uint64")
-        for place in np.sort(np.array(picks), axis=0):
-            total = total * _BASE + base[place] + np.uint64(1)
-        out[lo:lo + len(odd)] = _mix(total)
-    return (out >> np.uint64(32)).astype("uint32")
+    total = np.zeros(sketches, "uint64")
+    for place in np.sort(smallest(elements(base), min(length, len(base)), sketches), axis=1).T:
+        total = total * _BASE + base[place] + np.uint64(1)
+    return (_mix(total) >> np.uint64(32)).astype("uint32")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

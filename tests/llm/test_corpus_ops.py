@@ -175,6 +175,26 @@ def test_order_minhash_follows_order_and_edits():
     assert same[0] > 0.8 > same[1] > same[2]
 
 
+def test_order_minhash_chooses_among_all_kmers():
+    r = random.Random(2)
+    prose = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000)) for _ in range(2)]
+    for text in (prose[0], "-" * 3000 + prose[0], "short", "abcdefg"):
+        base, seen, element = fingerprints.kmers(text), Counter(), []
+        for x in base.tolist():
+            element.append(int(fingerprints._mix(np.array([x], "uint64") + np.array([seen[x]], "uint64") * fingerprints._BASE)[0]) >> 32)
+            seen[x] += 1
+        want = []
+        for odd in fingerprints._ODD.tolist():
+            total = np.zeros(1, "uint64")
+            for i in sorted(sorted(range(len(base)), key=lambda i: element[i] * odd % 2**32)[:2]):
+                total = total * fingerprints._BASE + base[i] + np.uint64(1)
+            want.append(int(fingerprints._mix(total)[0]) >> 32)
+        assert fingerprints.sketch(text).tolist() == want
+    # half of either text is one repeated k-mer: about a tenth alike, and about that for every padding letter
+    same = [fingerprints.likeness(*(fingerprints.sketch(pad * 3005 + t) for t in prose)) for pad in "0123456789#+*%=~"]
+    assert max(same) < 0.35 and 0.05 < np.mean(same) < 0.25
+
+
 def jaccard_classes(rows, width=5):
     def grams(t):
         w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
