@@ -89,13 +89,19 @@ class Rows:
         return self._sum(self.by_column, g, len(self.ids))
 
 
-def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, use: np.ndarray, sparse: float = 0.09, steps: int = 80, rate: float = 0.3) -> Linear:
-    """Logistic regression with an L1 penalty (sparse over the root of the rows) on word weights, by Adam with soft thresholding, on the rows `use` marks."""
+def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, use: np.ndarray, weight: np.ndarray, sparse: float = 0.09, steps: int = 80, rate: float = 0.3) -> Linear:
+    """Logistic regression with an L1 penalty (sparse over the root of the rows) on word weights, by Adam with soft thresholding, on the rows `use` marks.
+
+    A row stands for `weight` rows; weights are scaled to a mean of 1.
+    """
     n, k = max(1, int(use.sum())), earlier.shape[1]
-    w, c, b = np.zeros(len(rows.ids)), np.zeros(k), float(logit(np.array([(y[use].sum() + 0.5) / (n + 1)]))[0])
+    weight = np.where(use, weight, 0.0)
+    weight = weight * (n / max(float(weight.sum()), 1e-12))
+    y = np.where(use, y, 0.0)
+    w, c, b = np.zeros(len(rows.ids)), np.zeros(k), float(logit(np.array([((weight * y).sum() + 0.5) / (n + 1)]))[0])
     m, v = np.zeros(len(w) + k + 1), np.zeros(len(w) + k + 1)
     for t in range(1, steps + 1):
-        g = np.where(use, sigmoid(rows.times(w) + earlier @ c + b) - y, 0.0) / n
+        g = weight * (sigmoid(rows.times(w) + earlier @ c + b) - y) / n
         grad = np.concatenate([rows.back(g), earlier.T @ g, [g.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         scale = rate / (1 + t / 30) / (np.sqrt(v / (1 - 0.999**t)) + 1e-4)
@@ -128,37 +134,42 @@ class Chain:
         return out
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: Sequence[str], decided: str, strong: str | None = None) -> Chain:
+def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: Sequence[str], decided: str, strong: str | None = None, weight: np.ndarray | None = None) -> Chain:
     """The chain over label columns in the given order, each link reading out-of-fold probabilities of the earlier ones.
 
     Where `strong` is named, a last category is added: documents of the decided category whose out-of-fold probability is
     in the upper half of that category's. The threshold is the middle between the out-of-fold cut that separates best
-    (largest F1) and the next lower score.
+    (largest F1) and the next lower score. `weight` says how many labelled rows each row stands for. A label may be unknown
+    (NaN): its link is fitted on the other rows, and later links read its prediction.
     """
     rows, n, names = Rows(features), len(features), list(categories)
     fold = np.arange(n) % FOLDS
     links, out_of_fold, threshold = [], np.zeros((n, 0)), 0.5
     labels = labels.astype("float64").reshape(n, len(names))
+    weight = np.ones(n) if weight is None else weight.astype("float64")
     i = 0
     while i < len(names):
         y, earlier = labels[:, i], logit(out_of_fold)
+        known = ~np.isnan(y)
         p = np.zeros(n)
         for f in range(FOLDS):
-            part = fit_linear(rows, earlier, y, fold != f)
+            part = fit_linear(rows, earlier, y, known & (fold != f), weight)
             p = np.where(fold == f, sigmoid(rows.times(part.weights) + earlier @ part.earlier + part.constant), p)
-        links.append(fit_linear(rows, earlier, y, np.ones(n, bool)))
+        links.append(fit_linear(rows, earlier, y, known, weight))
         out_of_fold = np.column_stack([out_of_fold, p])
         if names[i] == decided:
-            if y.sum():
-                order = np.argsort(-p, kind="stable")
-                hits = np.cumsum(y[order])
-                best = int((2 * hits / (np.arange(1, n + 1) + y.sum())).argmax())
-                low = p[order[best + 1]] if best + 1 < n else 0.0
+            positive = known & (y > 0)
+            if positive.any():
+                order = np.argsort(-np.where(known, p, -1.0), kind="stable")[:known.sum()]
+                mass = weight[order]
+                hits = np.cumsum(mass * y[order])
+                best = int((2 * hits / (np.cumsum(mass) + hits[-1])).argmax())
+                low = p[order[best + 1]] if best + 1 < len(order) else 0.0
                 threshold = float(np.clip((p[order[best]] + low) / 2, 0.2, 0.8))
             if strong and strong not in names:
-                high = (y > 0) & (p >= (np.median(p[y > 0]) if y.sum() else 1.0))
+                high = positive & (p >= (np.median(p[positive]) if positive.any() else 1.0))
                 names.append(strong)
-                labels = np.column_stack([labels, high])
+                labels = np.column_stack([labels, np.where(known, high, np.nan)])
         i += 1
     return Chain(names, links, rows.ids, names.index(decided), threshold)
 
@@ -166,16 +177,17 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: Sequen
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], decided: str, key: str = "doc_id", text: str = "text", most: int = SAMPLE_ROWS) -> pd.DataFrame:
     """Features and categories of at most `most` labelled documents with and without the decided category.
 
-    All are taken where there are fewer; else a share by a hash of the key. A key labelled twice counts with the larger
-    values; labels that are null are left out; a key's repeated documents are joined each.
+    All are taken where there are fewer; else a share by a hash of the key, and `weight` is the inverse of the share. A key
+    labelled twice counts with the larger values; keys whose decided label is null are left out, other labels may be null;
+    a key's repeated documents are joined each.
     """
     one = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("label_key")).agg(*[F.max(c).cast("double").alias(f"label_{c}") for c in categories]).dropna()
     counts = {r[0] > 0: r[1] for r in one.groupBy(F.col(f"label_{decided}") > 0).count().select(F.col(f"(label_{decided} > 0)").cast("int"), "count").collect()}
     u = F.pmod(F.xxhash64("label_key"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col(f"label_{decided}") > 0, F.lit(most / max(most, counts.get(True, 1)))).otherwise(F.lit(most / max(most, counts.get(False, 1))))
-    names = [f"label_{c}" for c in categories]
+    names = [f"label_{c}" for c in categories] + ["weight"]
     # a bounded number of keys and labels, so the texts stay where they are
-    taken = one.where(u < share).limit(3 * most)
+    taken = one.where(u < share).withColumn("weight", 1 / share).limit(3 * most)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -194,7 +206,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str]
     labelled documents every probability is that of an empty fit and nothing is marked.
     """
     sample = labelled_sample(docs, labels, categories, decided, key, text, most)
-    chain = fit_chain([np.frombuffer(x, "int32") for x in sample["features"]], sample[[f"label_{c}" for c in categories]].to_numpy(), categories, decided, strong)
+    chain = fit_chain([np.frombuffer(x, "int32") for x in sample["features"]], sample[[f"label_{c}" for c in categories]].to_numpy(), categories, decided, strong, sample["weight"].to_numpy())
     fitted = bool(len(sample))
     model = docs.sparkSession.sparkContext.broadcast((chain, chain.sparse()))
     names = [f"p_{c}" for c in chain.categories]

@@ -431,3 +431,19 @@ def test_toxicity_chain_on_held_out_rows(spark):
     assert not any(r.is_toxic for r in got if r.doc_id in (900, 901))
     none = toxicity.score_toxicity(docs, seen.limit(0)).collect()
     assert len(none) == len(got) and not any(r.is_toxic for r in none)
+
+
+def test_toxicity_sample_keeps_the_class_balance(spark):
+    r, rows, labels = random.Random(7), [], []
+    for i in range(1800):
+        bad = i % 9 == 0
+        w = [r.choice(WORDS) + r.choice(WORDS) for _ in range(30)] + (["vile"] if r.random() < (0.7 if bad else 0.15) else [])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 0, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = spark.createDataFrame(labels, "doc_id bigint, low_quality int, toxic int")
+    every, sampled = (toxicity.score_toxicity(docs, seen, most=most).agg(F.avg("p_toxic"), F.avg(F.col("is_toxic").cast("int"))).first() for most in (5000, 200))
+    # one in nine is toxic, also where the sample holds as many toxic as clean documents
+    assert abs(every[0] - 1 / 9) < 0.04 and abs(sampled[0] - 1 / 9) < 0.06
+    found = toxicity.labelled_sample(docs, seen, ("low_quality", "toxic"), "toxic", most=200)
+    assert abs(found.weight[found.label_toxic == 0].sum() - 1600) < 300 and found.weight[found.label_toxic == 1].sum() == 200
