@@ -181,7 +181,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     labelled twice counts with the larger values; keys whose decided label is null are left out, other labels may be null;
     a key's repeated documents are joined each.
     """
-    one = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("label_key")).agg(*[F.max(c).cast("double").alias(f"label_{c}") for c in categories]).dropna()
+    one = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("label_key")).agg(*[F.max(c).cast("double").alias(f"label_{c}") for c in categories]).dropna(subset=[f"label_{decided}"])
     counts = {r[0] > 0: r[1] for r in one.groupBy(F.col(f"label_{decided}") > 0).count().select(F.col(f"(label_{decided} > 0)").cast("int"), "count").collect()}
     u = F.pmod(F.xxhash64("label_key"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col(f"label_{decided}") > 0, F.lit(most / max(most, counts.get(True, 1)))).otherwise(F.lit(most / max(most, counts.get(False, 1))))

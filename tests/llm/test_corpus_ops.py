@@ -447,3 +447,12 @@ def test_toxicity_sample_keeps_the_class_balance(spark):
     assert abs(every[0] - 1 / 9) < 0.04 and abs(sampled[0] - 1 / 9) < 0.06
     found = toxicity.labelled_sample(docs, seen, ("low_quality", "toxic"), "toxic", most=200)
     assert abs(found.weight[found.label_toxic == 0].sum() - 1600) < 300 and found.weight[found.label_toxic == 1].sum() == 200
+
+
+def test_toxicity_with_null_labels_of_other_categories(spark):
+    rows, labels = toxic_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for nulls in (range(300), range(0, 300, 4)):
+        seen = spark.createDataFrame([(i, None if i in nulls else low, toxic) for i, low, toxic in labels if i % 3], "doc_id bigint, low_quality int, toxic int")
+        held = [r for r in toxicity.score_toxicity(docs, seen).collect() if r.doc_id % 3 == 0]
+        assert sum(r.is_toxic == (r.doc_id % 4 == 0) for r in held) >= 0.97 * len(held)
