@@ -9,7 +9,7 @@ partner; those are compared by a 64-bit hash of all their bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,13 @@ from paysift.session import cut
 from .common import slices, text_or_empty
 
 GRAM = 64
+#: Words that are padded to WORD bytes make every passage of more than 50 words 51 * WORD + 50 bytes or longer. A 400-byte
+#: string loses at most the part of a short word at its start (its padding may differ) and has PASSAGE bytes left.
+WORD = 7
+PASSAGE = 400 - (WORD - 1)
+_PAD = 0xFF  # in no UTF-8 text
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Chunks end where a hash of four bytes says so (about every CHUNK bytes), and at every byte after GAP bytes without end.
 CHUNK, GAP = 24, 96
 _R = np.random.default_rng(424242)
@@ -55,6 +62,36 @@ def _hashes(data: np.ndarray, width: int) -> np.ndarray:
         have, power = 2 * have, power * power & _MASK
 
 
+def _origins(data: np.ndarray) -> np.ndarray:
+    """For each byte of the padded text the place of its own byte, or of the word's last byte before padding."""
+    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    times = np.ones(len(data), "int64")
+    times[ends - 1] += np.maximum(0, WORD - (ends - starts))
+    return np.repeat(np.arange(len(data)), times)
+
+
+def padded(text: bytes) -> bytes:
+    """The text with every word (run without ASCII white space) of fewer than WORD bytes filled up to WORD; nothing is lost."""
+    data = np.frombuffer(text, "uint8")
+    at = _origins(data)
+    out = data[at]
+    out[1:][at[1:] == at[:-1]] = _PAD
+    return out.tobytes()
+
+
+def unpadded(text: bytes, lo: list[int], hi: list[int]) -> tuple[list[int], list[int]]:
+    """Spans of the padded text as spans of the text."""
+    at = _origins(np.frombuffer(text, "uint8"))
+    a, b = np.array(lo, "int64"), np.array(hi, "int64")
+    filled = (a > 0) & (at[a] == at[np.maximum(a - 1, 0)])
+    return (at[a] + filled).tolist(), (at[b - 1] + 1).tolist()
+
+
+def _plain(text: bytes) -> bytes:
+    return text
+
+
 def window_runs(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser hash, first window, windows) of the runs of windows with one minimiser, covering every window once."""
     hashes, starts, sizes = [], [], []
@@ -312,10 +349,10 @@ def _hot_windows(contexts: DataFrame, length: int) -> DataFrame:
     return windows.join(twice, "h").select("text_key", F.array("at").alias("lo"), F.array(F.col("at") + length).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, each: int = 2 << 20, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, each: int = 2 << 20, hot: int = 20_000, form: Callable[[bytes], bytes] = _plain) -> tuple[DataFrame, DataFrame]:
     """(rows, found): rows (doc_id, row_key, text_key, n_bytes, copies, sha256) of every row, and the spans to remove
     (text_key, row_key, lo, hi sorted and disjoint) of every text that occurs once and has any. A text of `length` bytes or
-    more with copies is removed whole and has no spans here.
+    more with copies is removed whole and has no spans here. Lengths and spans are those of the bytes as `form` gives them.
     """
     if length <= GRAM + 4 + 2 * GAP:
         raise ValueError(f"the length must be above {GRAM + 4 + 2 * GAP} bytes")
@@ -323,7 +360,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            data = [t.encode() for t in batch.column(2).to_pylist()]
+            data = [form(t.encode()) for t in batch.column(2).to_pylist()]
             runs = [window_runs(np.frombuffer(d, "uint8"), length) for d in data]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary()), pa.array([len(d) for d in data], pa.int64()),
@@ -343,7 +380,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for batch in slices(batches, "text", 64, 1 << 20):
             columns: list[list] = [[], [], [], [], [], []]
             for name, words, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = words.encode()
+                data = form(words.encode())
                 for r in found:
                     context = data[r["start"]:r["start"] + r["windows"] + length - 1]
                     mark = int.from_bytes(hashlib.blake2b(context, digest_size=8).digest(), "little", signed=True)
@@ -396,16 +433,20 @@ def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     )
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, **settings) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passages: bool = False, **settings) -> DataFrame:
     """The rows of `docs` with the repeated bytes taken out of the text (see repeat_digest); every row stays.
 
-    A character of which only some bytes are removed goes. Rows that lose nothing keep their text, nulls included.
+    A character of which only some bytes are removed goes. Rows that lose nothing keep their text, nulls included. With
+    `passages`, lengths are those of the padded text.
     """
-    rows, found = repeated_spans(docs, key, text, length, **settings)
+    rows, found = repeated_spans(docs, key, text, length, form=padded if passages else _plain, **settings)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            kept = [_kept(t.encode(), lo, hi).decode(errors="ignore") for lo, hi, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            kept = []
+            for lo, hi, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                data = t.encode()
+                kept.append(_kept(data, *(unpadded(data, lo, hi) if passages else (lo, hi))).decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["text_key", "_repeat_kept"])
 
     whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("row_key", F.lit("").alias("_repeat_kept"))
@@ -414,3 +455,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     marked = docs.withColumn("_repeat_row_of", F.xxhash64(F.col(key), F.col(text)))
     columns = [F.coalesce("_repeat_kept", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return marked.join(changed, F.col("_repeat_row_of") == F.col("_repeat_row"), "left").select(*columns)
+
+
+def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of `docs` without any passage of more than 50 words, however short, and any 400-byte string that repeats.
+
+    See remove_repeats. Both reach PASSAGE bytes once words are padded; so do some passages of 50 words and of 394 bytes.
+    """
+    return remove_repeats(docs, key, text, PASSAGE, passages=True, **settings)

@@ -303,6 +303,22 @@ def test_remove_repeats(docs, rows, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0 and suffix_dedup.repeat_digest(nothing).count() == 0
 
 
+def test_remove_passages(docs, rows, nothing):
+    made = [(r[0], None if r[1] is None else suffix_dedup.padded(r[1].encode())) for r in rows]
+    assert all(b is None or b.replace(b"\xff", b"") == r[1].encode() for r, (_, b) in zip(rows, made, strict=True))
+    seen = Counter(b[i:i + 394] for _, b in made if b for i in range(len(b) - 393))
+    want = Counter()
+    for doc, b in made:
+        gone = np.zeros(len(b or b""), bool)
+        for i in range(len(gone) - 393):
+            if seen[b[i:i + 394]] > 1:
+                gone[i:i + 394] = True
+        want[(doc, None if b is None else np.frombuffer(b, "uint8")[~gone].tobytes().replace(b"\xff", b"").decode(errors="ignore"))] += 1
+    for hot in (20_000, 2):
+        assert Counter((r.doc_id, r.text) for r in suffix_dedup.remove_passages(docs, hot=hot, each=4000).collect()) == want
+    assert suffix_dedup.remove_passages(nothing).count() == 0
+
+
 def test_suffix_order():
     r = random.Random(2)
     for _ in range(300):

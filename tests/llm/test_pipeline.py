@@ -52,6 +52,17 @@ def test_stages_in_turn(spark, sf, docs):
     assert (packed.piece == 0).sum() == len(kept)
 
 
+def test_repeated_passages_of_over_50_words(spark, sf):
+    r = random.Random(9)
+    words = lambda n, size: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n))
+    short, usual, few, solid = words(51, 1), words(51, 5), words(40, 5), words(1, 400)
+    rows = [(2 * i + j, f"{words(60, 6)} {'xy'[j]} {p}{after}", "en", "s", 0) for i, p in enumerate((short, usual, few, solid)) for j, after in enumerate((f"\n{words(60, 6)} x", ""))]
+    out = {x.doc_id: x for x in corpus_pipeline.remove_repeated_passages(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), sf).collect()}
+    for i, p in enumerate((short, usual, few, solid)):
+        assert all((p in out[2 * i + j].text) == (p == few) for j in (0, 1)), p
+    assert all(len(x.text) >= 420 and x.n_chars == len(x.text) for x in out.values())
+
+
 def test_empty_documents(spark, sf, docs):
     empty = docs[0].limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
