@@ -14,7 +14,10 @@ from array import array
 from collections.abc import Callable
 from itertools import chain
 
-_RANGE = [c for c in range(0x250) if c in (9, 10, 13) or 0x20 <= c <= 0x7E or (0xA1 <= c and c not in (0xAD, 0x130))]
+_RANGE = [
+    c for c in range(0x250)
+    if c in (9, 10, 13) or 0x20 <= c <= 0x7E or (0xA1 <= c != 0xAD and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250)
+]
 _OTHER = re.compile("[^" + "".join(re.escape(chr(c)) for c in _RANGE) + "]|<\\|")
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, ball_search, fingerprints, language, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from . import attention_lm, ball_search, bpe_codec, conversation_repair, fingerprints, language, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
 from .common import fold, table
 
 
@@ -131,5 +131,47 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_inner_products, op3_mix_sources, op4_ngram_jaccard, op5_attention_lm, op6_pack_sequences, op7_order_minhash, op8_toxicity_chain, op9_repeated_bytes, op10_count_tokens)}
+def damage(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text with the faults that the contract of op12 plants by crc32 of `conv_id:turn`."""
+    shown = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    fault = (F.crc32(shown) % 20).alias("fault")
+    text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
+    marked = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), fault).where("fault <> 0")
+    kind = F.col("fault")
+    return marked.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of every original conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    report = conversation_repair.repair_report(damage(turns))
+    ids = turns.select("conv_id").distinct().withColumn("conv", conversation_repair.conversation_key("conv_id"))
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return ids.join(report, "conv", "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+    )
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, and its ids decoded again."""
+    vocabulary_file = vocabulary("word_bpe_49k.json")
+    encoded = bpe_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file).drop("text")
+    return bpe_codec.decode(encoded, vocabulary_file).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_language_id, op2_top_inner_products, op3_mix_sources, op4_ngram_jaccard, op5_attention_lm, op6_pack_sequences, op7_order_minhash,
+        op8_toxicity_chain, op9_repeated_bytes, op10_count_tokens, op12_conversation_repair, op13_bpe_round_trip,
+    )
+}
 SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
