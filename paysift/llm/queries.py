@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, ball_search, bpe_codec, conversation_repair, fingerprints, language, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from . import attention_lm, ball_search, bpe_codec, collocations, conversation_repair, fingerprints, language, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
 from .common import fold, table
 
 
@@ -131,6 +131,39 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's 2000 best phrases of two to four words."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+sized AS (SELECT lang, w, unnest(range(1, 5)) AS m FROM worded),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM sized WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE m > 1 AND n >= 30),
+cut_at AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, min({'score': ((2000000::HUGEINT * c.a) // (h.n + t.n))::BIGINT, 'k': c.k, 'l': h.n, 'r': t.n}) AS best
+  FROM cut_at c JOIN f h ON c.lang = h.lang AND c.head = h.phrase JOIN f t ON c.lang = t.lang AND c.tail = t.phrase GROUP BY ALL
+),
+inner_phrases AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a FROM (SELECT lang, m, w, a, unnest(range(2, m)) AS s FROM candidates WHERE m > 2), range(1, 4) AS g(i) WHERE i + s - 1 <= m
+),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY best.score DESC, a DESC, encode(s.phrase)) AS rank, s.phrase, a, best.l AS l, best.r AS r, t.n, best.score AS score
+  FROM scored s JOIN totals t ON s.lang = t.lang LEFT JOIN longer g ON s.lang = g.lang AND s.phrase = g.phrase WHERE coalesce(100 * g.most < 80 * a, true)
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 def damage(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role and text with the faults that the contract of op12 plants by crc32 of `conv_id:turn`."""
     shown = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
@@ -171,7 +204,7 @@ def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_language_id, op2_top_inner_products, op3_mix_sources, op4_ngram_jaccard, op5_attention_lm, op6_pack_sequences, op7_order_minhash,
-        op8_toxicity_chain, op9_repeated_bytes, op10_count_tokens, op12_conversation_repair, op13_bpe_round_trip,
+        op8_toxicity_chain, op9_repeated_bytes, op10_count_tokens, op11_collocations, op12_conversation_repair, op13_bpe_round_trip,
     )
 }
-SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
+SQL = {"op2_top_inner_products": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op11_collocations": OP11_SQL}

@@ -5,11 +5,13 @@ import heapq
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from paysift.llm import bpe_codec, conversation_repair, queries
+from paysift.llm import bpe_codec, collocations, conversation_repair, queries
 from paysift.llm.queries import vocabulary
 from tests.llm.test_corpus_ops import SCHEMA, texts
 
@@ -154,7 +156,72 @@ def test_bpe_round_trip(spark):
 
 
 def test_bpe_file_with_merges_out_of_order_is_refused():
-    import pytest
-
     with pytest.raises(ValueError):
         bpe_codec.MergeTable._check_order(np.array([3, 0]), np.array([2, 1]), np.array([4, 3]))
+
+
+def slow_collocations(rows, least, top):
+    """The contract of op11 over counts of everything."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            words = re.findall("[^ \t]+", piece)
+            totals[lang] += len(words)
+            for m in range(1, 5):
+                counts[lang].update(tuple(words[i:i + m]) for i in range(len(words) - m + 1))
+    out = []
+    for lang, f in counts.items():
+        often = {p: n for p, n in f.items() if n >= least and len(p) > 1}
+        gone = {p[i:i + m] for p, n in often.items() for m in range(2, len(p)) for i in range(len(p) - m + 1) if 100 * n >= 80 * f[p[i:i + m]]}
+        best = []
+        for p, a in often.items():
+            score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            if p not in gone:
+                best.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for i, (score, a, phrase, left, right) in enumerate(sorted(best)[:top]):
+            out.append((lang, i + 1, phrase.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def phrases(seed, n_words, n):
+    r = random.Random(seed)
+    words = [a + b for a in "the of é in A be To 日本 x-y nbsp\xa0z".split(" ") for b in ("", "s", "ing", "ed")][:n_words]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    fixed = [" ".join(r.choices(words, weights, k=r.randrange(2, 7))) for _ in range(12)]
+    out = []
+    for _ in range(n):
+        part = [r.choice(fixed) if r.random() < 0.4 else r.choices(words, weights)[0] for _ in range(r.randrange(1, 60))]
+        out.append("".join(p + r.choice([" "] * 12 + ["\t", ". ", ", ", "\n", "; "]) for p in part))
+    return out
+
+
+def collocation_docs(n=60):
+    made = [(lang, t) for i, lang in enumerate(("en", "fr", None, "und")) for t in phrases(i, 24, n)]
+    return made + [("en", None), ("en", ""), ("xx", "only one line"), ("en", " . ,\n"), (None, made[0][1]), made[0], made[0]]
+
+
+@pytest.mark.parametrize(("least", "top"), [(3, 25), (2, 400), (5, 1), (30, 2000)])
+def test_collocations(spark, least, top):
+    rows = collocation_docs()
+    docs = spark.createDataFrame([(*r, "own", "own", 1) for r in rows], "lang string, text string, phrase string, rank string, n int").repartition(3)
+    got = collocations.mine(docs, least=least, top=top, bits=1 << 15)
+    assert sorted(map(tuple, got.collect())) == slow_collocations(rows, least, top)
+
+
+def test_collocations_of_nothing(spark):
+    assert collocations.mine(spark.createDataFrame([], "lang string, text string")).count() == 0
+    assert collocations.mine(spark.createDataFrame([(None, None), ("en", "a b")], "lang string, text string")).count() == 0
+
+
+def test_collocations_grow_only_what_can_be_reported(spark, monkeypatch):
+    """Phrases whose prefix scores too low are never counted."""
+    rows = [("en", t) for t in phrases(9, 40, 400)]
+    seen = []
+    plain = collocations._counted
+    monkeypatch.setattr(collocations, "_counted", lambda texts, step, *sets: seen.append(out := plain(texts, step, *sets)) or out)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, collocations.mine(docs, least=5, top=5).collect())) == slow_collocations(rows, 5, 5)
+    counted = {r.phrase for df in seen[2:] for r in df.where("n >= 5").collect()}
+    all_longer = Counter(tuple(w[i:i + m]) for _, t in rows for p in re.split("[.,;:!?\n\r]", t.replace("A", "a").replace("T", "t")) for w in [re.findall("[^ \t]+", p)] for m in (3, 4) for i in range(len(w) - m + 1))
+    assert len(counted) < sum(n >= 5 for n in all_longer.values())
