@@ -32,15 +32,17 @@ def with_pair_history(payments: DataFrame, split: Split = SPLIT, hot: DataFrame
     return h.drop(SEG).withColumn("new_payee", F.col("prev_t").isNull())
 
 
-def daily_totals(payments: DataFrame) -> DataFrame:
-    """(account, day, in, out) in paise; partial sums happen before the shuffle."""
+def daily_totals(payments: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(account, day, in, out) in paise, of all accounts or `only` those given; partial sums happen before the shuffle."""
     legs = F.inline(
         F.array(
             F.struct(F.col("to_id").alias("account_id"), F.col("amount_p").alias("in_p"), F.lit(0).cast("bigint").alias("out_p")),
             F.struct(F.col("from_id").alias("account_id"), F.lit(0).cast("bigint").alias("in_p"), F.col("amount_p").alias("out_p")),
         )
     )
-    return payments.select(epoch_day(F.col("t_us")).alias("day"), legs).groupBy("account_id", "day").agg(
+    each = payments.select(epoch_day(F.col("t_us")).alias("day"), legs)
+    each = each if only is None else each.join(only, "account_id", "left_semi")
+    return each.groupBy("account_id", "day").agg(
         F.sum("in_p").alias("in_p"), F.sum("out_p").alias("out_p")
     )
 
@@ -59,24 +61,28 @@ def baselines(daily: DataFrame, rules: Rules = R20) -> DataFrame:
     )
 
 
-def _event(account: str, side: str, t: str, ord_: int, w: int, sign: int, near_payers: str, payees: tuple[str, str, str]) -> str:
+def _window_event(account: str, side: str, t: str, ord_: int, w: int, sign: int, near_payers: str, payees: tuple[str, str, str], more: str = "") -> str:
     """One entry (w = 0), exit (w = window length) or correction (w = -1, no money) event."""
     money = f"amount_p * {sign}" if w >= 0 else "0L"
     return (
         f"named_struct('account_id', {account}, 't_us', {t}, 'ord', {ord_}, 'row', row, 'side', '{side}', 'w', {w}L, 'd_p', {money}, "
         f"'d_n', {sign if w >= 0 else 0}, 'new_in', new_in, 'near_in', near_in, 'd_near_payers', {near_payers}, "
-        + ", ".join(f"'d_payees_{i}', {x}" for i, x in enumerate(payees)) + ")"
+        + ", ".join(f"'d_payees_{i}', {x}" for i, x in enumerate(payees)) + more + ")"
     )
 
 
-def window_events(paired: DataFrame) -> DataFrame:
-    """Entry and exit events of every window, on both ends of every payment.
+def window_events(paired: DataFrame, model_threshold: float | None = None) -> DataFrame:
+    """Entry and exit events of every window, on both ends of every payment; with a threshold, whether the model scores it so high.
 
     A repeat of a pair inside a window must not count its payee (or payer) twice: the repeat enters with 0, and the exit of
     the earlier payment is undone by a correction at the same moment.
     """
     wins = (HOUR, 6 * HOUR, DAY)
     none = ("0", "0", "0")
+    more = "" if model_threshold is None else f", 'agrees', score >= {model_threshold}D"
+
+    def _event(*a) -> str:
+        return _window_event(*a, more)
 
     def only(i: int, x: str) -> tuple[str, ...]:
         return tuple(x if j == i else "0" for j in range(3))
@@ -92,7 +98,7 @@ def window_events(paired: DataFrame) -> DataFrame:
         *[f"IF(again_{i}, " + _event("from_id", "o", f"prev_t + {w}L", 1, -1, 1, "0", only(i, "1")) + ", NULL)" for i, w in enumerate(wins)],
     ]
     flagged = paired.selectExpr(
-        "row", "t_us", "from_id", "to_id", "amount_p", "prev_t", "prev_near_t",
+        "row", "t_us", "from_id", "to_id", "amount_p", "prev_t", "prev_near_t", *([] if model_threshold is None else ["score"]),
         "new_payee AND channel = 'P2P' AS new_in",
         "near AND channel = 'P2P' AS near_in",
         f"coalesce(near AND channel = 'P2P' AND prev_near_t >= t_us - {DAY}L, false) AS near_again",
@@ -105,9 +111,16 @@ def hot_accounts(payments: DataFrame, split: Split = SPLIT) -> DataFrame | None:
     return hot_keys(payments.select(F.explode(F.array("from_id", "to_id")).alias("account_id")), ["account_id"], split)
 
 
-def window_sums(paired: DataFrame, hot: DataFrame | None = None, split: Split = SPLIT) -> DataFrame:
-    """Per payment and side, the window aggregates at that moment (the payment included)."""
-    ev = with_segment(window_events(paired), ["account_id"], hot, split=split)
+def window_sums(
+    paired: DataFrame, hot: DataFrame | None = None, split: Split = SPLIT, only: DataFrame | None = None, model_threshold: float | None = None
+) -> DataFrame:
+    """Per payment and side, the window aggregates at that moment (the payment included).
+
+    `only` restricts them to some accounts. With a threshold, `model_new`, `model_near` and `model_any` are the last times of
+    a new payer's transfer, a just-under-cap transfer, and any payment that the model scores so high.
+    """
+    events = window_events(paired, model_threshold)
+    ev = with_segment(events if only is None else events.join(only, "account_id", "left_semi"), ["account_id"], hot, split=split)
 
     def over(cond: str, length: int, value: str) -> Column:
         return F.expr(f"IF({cond} AND w IN (0, {length}), {value}, 0)")
@@ -125,14 +138,20 @@ def window_sums(paired: DataFrame, hot: DataFrame | None = None, split: Split =
     sums["near_sum"] = over("side = 'i' AND near_in", DAY, "d_p")
     sums["near_new_n"] = over("side = 'i' AND near_in AND new_in", DAY, "d_n")
     sums["near_payers"] = F.col("d_near_payers")
-    return running(ev, ["account_id"], list(ORDER), sums=sums).where("ord = 0")
+    maxes: dict[str, Column] = {}
+    if model_threshold is not None:
+        high = {"model_new": "side = 'i' AND new_in", "model_near": "side = 'i' AND near_in", "model_any": "true"}
+        maxes = {k: F.expr(f"IF(ord = 0 AND agrees AND {cond}, t_us, NULL)") for k, cond in high.items()}
+    return running(ev, ["account_id"], list(ORDER), sums=sums, maxes=maxes).where("ord = 0")
 
 
 def firings(sums: DataFrame, base: DataFrame, accounts: DataFrame, rules: Rules = R20) -> DataFrame:
     """Every moment at which a primary detector fires: (detector, account, t, row, window, severity, base score, facts).
 
-    A pair is new once, so new-payer transfers and distinct new payers are the same number.
+    A pair is new once, so new-payer transfers and distinct new payers are the same number. If the sums carry the model's last
+    high scores, `agrees` says whether one lies in the firing's window.
     """
+    with_model = "model_any" in sums.columns
     prepare(sums.sparkSession)
     r, idx = rules, range(len(rules.pass_windows))
     moved = " OR ".join(f"(outs_{i} >= 2 AND payees_{i} >= 2 AND out_{i} >= {r.pass_ratio}D * in_{i})" for i in idx)
@@ -165,26 +184,27 @@ def firings(sums: DataFrame, base: DataFrame, accounts: DataFrame, rules: Rules
         f"element_at(array({', '.join(f'{w}L' for w in r.pass_windows)}), greatest(pick, 0) + 1) AS pw",
     ).selectExpr("*", "least(try_divide(pout, pin), 9.99D) AS ratio")
 
-    def fire(name: str, cond: str, w: str, critical: str, score: str, total: str, out: str, people: str, hits: str, bar: str) -> str:
+    def fire(name: str, cond: str, w: str, critical: str, score: str, total: str, out: str, people: str, hits: str, bar: str, model: str) -> str:
+        agrees = f", 'agrees', coalesce({model} >= t_us - {w}, false)" if with_model else ""
         return (
             f"IF({cond}, named_struct('detector', '{name}', 'w_us', {w}, 'severity', IF({critical}, 'critical', 'high'), 'base_score', CAST({score} AS INT), "
-            f"'total_p', CAST({total} AS BIGINT), 'out_p', CAST({out} AS BIGINT), 'people', CAST({people} AS BIGINT), 'hits', CAST({hits} AS BIGINT), 'bar_p', CAST({bar} AS BIGINT)), NULL)"
+            f"'total_p', CAST({total} AS BIGINT), 'out_p', CAST({out} AS BIGINT), 'people', CAST({people} AS BIGINT), 'hits', CAST({hits} AS BIGINT), 'bar_p', CAST({bar} AS BIGINT){agrees}), NULL)"
         )
 
     found = [
         fire("inflow_new_payers", "side = 'i' AND new_in AND (hit24 OR hit72)", f"IF(hit24, {DAY}L, {3 * DAY}L)", "new_n >= 3 OR new_sum >= 2 * bar",
-             "78 + 3 * least(new_n, 5)", "new_sum", "0", "new_n", "new_n", "bar"),
+             "78 + 3 * least(new_n, 5)", "new_sum", "0", "new_n", "new_n", "bar", "model_new"),
         fire("structuring", "side = 'i' AND near_in AND near_n >= 3 AND near_payers >= 2 AND near_new_n >= 1", f"{DAY}L", "near_n >= 5",
-             "74 + 2 * least(near_n, 8)", "near_sum", "0", "near_payers", "near_n", "0"),
+             "74 + 2 * least(near_n, 8)", "near_sum", "0", "near_payers", "near_n", "0", "model_near"),
     ]
     if r.relative_floor:
         found.append(
             fire("fan_in_new_payers",
                  f"side = 'i' AND new_in AND coalesce(kind, 'individual') = 'individual' AND new_n_24 >= {r.fan_in_payers} AND new_sum_24 >= {r.fan_in_min_p}",
-                 f"{DAY}L", f"new_n_24 >= {2 * r.fan_in_payers}", "72 + 2 * least(new_n_24, 10)", "new_sum_24", "0", "new_n_24", "new_n_24", str(r.fan_in_min_p))
+                 f"{DAY}L", f"new_n_24 >= {2 * r.fan_in_payers}", "72 + 2 * least(new_n_24, 10)", "new_sum_24", "0", "new_n_24", "new_n_24", str(r.fan_in_min_p), "model_new")
         )
     found.append(
-        fire("pass_through", "side = 'o' AND pick >= 0", "pw", f"ratio >= 0.85D AND pw <= {6 * HOUR}L", "70 + floor(least(ratio, 1.0D) * 20)", "pin", "pout", "ppayees", "pouts", "floor_p")
+        fire("pass_through", "side = 'o' AND pick >= 0", "pw", f"ratio >= 0.85D AND pw <= {6 * HOUR}L", "70 + floor(least(ratio, 1.0D) * 20)", "pin", "pout", "ppayees", "pouts", "floor_p", "model_any")
     )
     return t.selectExpr("account_id", "t_us", "row", f"inline_outer(array({', '.join(found)}))").where("detector IS NOT NULL")
 

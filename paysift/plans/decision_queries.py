@@ -30,20 +30,36 @@ def query(name: str):
     return add
 
 
+def policy_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """What people do during the policy run: every third account appeals at noon of every day, some appeals are decided in the
+    afternoon, some lapse; every eleventh account is frozen after five days. What does not apply changes nothing."""
+    last = V.payments(spark, sf).agg(F.floor((F.max("t_us") - V.BASE_US) / DAY).alias("last"))
+    n = F.substring("account_id", 2, 18).cast("bigint")
+    a = V.accounts(spark, sf).select("account_id", n.alias("n"))
+    noon = F.lit(V.BASE_US + 12 * HOUR) + F.col("day") * F.lit(DAY) + F.col("n") * F.lit(1_000_000)
+    daily = a.where("n % 3 = 0").crossJoin(F.broadcast(last)).withColumn("day", F.explode(F.expr("sequence(0L, greatest(last, 0L))"))).withColumn("at_us", noon)  # one row
+    none = F.lit(None).cast("string").alias("detector")
+    decided = F.expr("CASE WHEN n % 6 = 0 THEN 'release' WHEN n % 4 = 3 THEN 'uphold' END")
+    appeals = daily.select("account_id", "at_us", F.lit("appeal").alias("action"), none)
+    decisions = daily.select("account_id", F.col("at_us") + 5 * HOUR, decided.alias("action"), none).where("action IS NOT NULL")
+    frozen = a.where("n % 11 = 4").select("account_id", F.lit(V.BASE_US + 5 * DAY), F.lit("freeze"), none)
+    return appeals.union(decisions).union(frozen)
+
+
 _POLICY: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _policy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _POLICY:
-        flags, restr, _ = Rp.replay(V.payments(spark, sf), V.accounts(spark, sf), V.BASE_US, Rules(hop_rule=False))
+        flags, restr, _ = Rp.replay(V.payments(spark, sf), V.accounts(spark, sf), V.BASE_US, actions=policy_actions(spark, sf))
         _POLICY[key] = (cut(flags), restr)
     return _POLICY[key]
 
 
 @query("policy_payment_flags")
 def flags(spark, sf):
-    """Payments blocked, delayed or cancelled when the router acts and nobody else does (hop rule off)."""
+    """Payments blocked, delayed or cancelled when the router and people act, with all detectors on."""
     return _policy(spark, sf)[0]
 
 
