@@ -153,6 +153,42 @@ def test_message_passing_equals_numpy(spark):
         assert got[x["row"]] == pytest.approx(_forward(seen, w)[x["row"]], abs=1e-6)
 
 
+def test_second_layer_corrections_are_linear_in_a_hub(spark):
+    many = lambda n: [(i, T0 + i * 60_000_000, f"p{i}" if i % 2 else "hub", "hub" if i % 2 else f"q{i}") for i in range(n)]
+    # a node paid by many, one that pays many, and both at once
+    for make, most in ((lambda n: [(i, t, f"p{i}", "hub") for i, t, *_ in many(n)], 1), (lambda n: [(i, t, "hub", f"q{i}") for i, t, *_ in many(n)], 1), (many, 2)):
+        for n in (60, 240):
+            e = spark.createDataFrame(make(n), "row int, t_us bigint, from_id string, to_id string").withColumn("now_us", F.col("t_us"))
+            asked = e.select(F.explode(F.array("from_id", "to_id")).alias("node"), "now_us").distinct()
+            assert Md.refresh_points(e, asked, 72 * 3600, split=Split(hot_rows=20)).count() <= most * n
+
+
+def test_cached_scores_use_the_last_refresh(spark):
+    r = random.Random(8)
+    day = 86_400
+    rows = [{"row": i, "t_us": T0 + r.randrange(2 * day) * 1_000_000, "from_id": f"n{r.randrange(7)}", "to_id": f"n{r.randrange(7)}", "features": [r.random() for _ in range(3)]} for i in range(70)]
+    df = spark.createDataFrame(rows, "row int, t_us bigint, from_id string, to_id string, features array<double>")
+    w = Md.load_weights(Md.weights_table(spark))
+    for refresh in (7200, 40_000):
+        got = {x["row"]: x["probability"] for x in Md.score_edges_in_time(df, w, window_s=day, refresh_s=refresh, split=Split(hot_rows=9)).collect()}
+        for x in rows:
+            now = max(y["t_us"] for y in rows if y["t_us"] // 5_000_000 == x["t_us"] // 5_000_000)
+            assert got[x["row"]] == pytest.approx(_cached(rows, w, now, x, day * 1_000_000, refresh * 1_000_000), abs=1e-6)
+
+
+def _cached(rows, w, now, x, window, step):
+    """One edge's score by the two layers written out, sources' embeddings as of the last refresh."""
+    x0, last = w["node_b"], now // step * step
+    at = lambda t, v: [y for y in rows if y["to_id"] == v and t - window <= y["t_us"] <= t]
+    emb = lambda y: np.array(y["features"]) @ w["edge_w"] + w["edge_b"]
+    zero = np.zeros((1, len(x0)))
+    one = lambda v, t: Md._update(w, 1, x0[None], zero + sum(np.maximum(emb(y) + x0, 0) for y in at(t, v)))
+    born = lambda v: min(y["t_us"] for y in rows if v in (y["from_id"], y["to_id"]))
+    src = lambda v: one(v, last if born(v) <= last else now)
+    two = lambda v: Md._update(w, 2, one(v, now), zero + sum(np.maximum(emb(y) + src(y["from_id"]), 0) for y in at(now, v)))
+    return float(Md._readout(w, two(x["from_id"]), two(x["to_id"]), emb(x)[None])[0, 0])
+
+
 def test_common_control_equals_pairing(spark):
     r = random.Random(9)
     comp = [(f"C{i}", f"{2000 + r.randrange(6)}-0{1 + r.randrange(9)}-01") for i in range(25)]
