@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DAY, HOUR, P10, SPLIT, MerchantRules, Split
+from ..session import cut
 from .metrics import percentiles
 from .running import hot_keys, running, with_segment
 
@@ -25,33 +26,73 @@ def category_p99(pays: DataFrame, merchants: DataFrame, start_us: int, rules: Me
     return percentiles(train, "amount", {"cat_p99": 0.99}, ["category"])
 
 
-def above_bar(firsts: DataFrame, merchants: DataFrame, bars: DataFrame, rules: MerchantRules = P10) -> DataFrame:
+_TOP_LEVEL = 6
+
+
+def _rank_blocks(lo: str, hi: str) -> str:
+    """The rank range [lo, hi) as whole blocks of 8^level ranks, the largest that fit, as an array of (level, block)."""
+    pieces = f"""transform(sequence(0, {_TOP_LEVEL}), l -> named_struct('level', l, 'a', ceil({lo} / shiftleft(1L, 3 * l)), 'b', {hi} div shiftleft(1L, 3 * l),
+      'pa', 8 * ceil({lo} / shiftleft(8L, 3 * l)), 'pb', 8 * ({hi} div shiftleft(8L, 3 * l))))"""
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+
+    def span(x: str, y: str) -> str:
+        return f"IF({x} < {y}, sequence({x}, {y} - 1), {none})"
+
+    of_level = f"IF(p.level = {_TOP_LEVEL} OR p.pa >= p.pb, {span('p.a', 'p.b')}, concat({span('p.a', 'p.pa')}, {span('p.pb', 'p.b')}))"
+    return f"flatten(transform({pieces}, p -> transform({of_level}, k -> named_struct('level', p.level, 'block', k))))"
+
+
+def _own_tickets(firsts: DataFrame, asks: DataFrame, rules: MerchantRules, hot: DataFrame | None, split: Split) -> DataFrame:
+    """(merchant_id, tie, n, upto, below, over) of every ask: how many tickets its window holds, how many of them are at most its
+    amount, and the values next to it on either side.
+
+    A window is a range of the merchant's tickets in time order. It is the union of a few whole blocks of 8^level tickets,
+    and inside a block one sweep in order of amount answers all asks that use it. So the work is tickets x levels plus asks
+    x levels: no ask meets its tickets one by one, and a block holds at most 8^6 tickets, however hot the merchant is.
+    """
+    span = rules.own_days * DAY
+    marked = firsts.join(asks.select("merchant_id", "tie", F.lit(True).alias("asks")), ["merchant_id", "tie"], "left")
+    marked = marked.join(asks.select("merchant_id").distinct(), "merchant_id", "left_semi")
+
+    def event(t: str, ord_: int) -> str:
+        return f"named_struct('merchant_id', merchant_id, 't_us', {t}, 'ord', {ord_}, 'tie', tie, 'amount', amount, 'asks', asks)"
+
+    ev = marked.selectExpr(f"inline_outer(array({event('t_us', 1)}, IF(asks, {event(f't_us - {span}L', 0)}, NULL)))").where("merchant_id IS NOT NULL")
+    seg = with_segment(ev, ["merchant_id"], hot, split=split)
+    ranked = cut(running(seg, ["merchant_id"], ["t_us", "ord", "tie"], sums={"r": F.col("ord")}).select("merchant_id", "ord", "tie", "amount", "asks", "r"))
+    windows = ranked.where("asks").groupBy("merchant_id", "tie").agg(
+        F.max(F.when(F.col("ord") == 0, F.col("r"))).alias("lo"), F.max(F.when(F.col("ord") == 1, F.col("r") - 1)).alias("hi"), F.max("amount").alias("amount")).withColumn("n", F.expr("hi - lo"))
+    windows = cut(windows.where(F.col("n") >= rules.own_min_tickets))
+    levels = windows.groupBy("merchant_id").agg(F.least(F.lit(_TOP_LEVEL), F.floor(F.log2(F.max("n")) / 3)).cast("int").alias("top"))
+    tickets = ranked.where("ord = 1").join(levels, "merchant_id").select("merchant_id", F.explode(F.expr("sequence(0, top)")).alias("level"), (F.col("r") - 1).alias("k"), "amount")
+    none = F.lit(None)
+    line = tickets.select("merchant_id", "level", F.expr("k div shiftleft(1L, 3 * level)").alias("block"), "amount", F.col("amount").alias("ticket"), none.cast(windows.schema["tie"].dataType).alias("tie"))
+    used = windows.select("merchant_id", "tie", "amount", F.expr(f"inline({_rank_blocks('lo', 'hi')})"))
+    line = line.unionByName(used.select("merchant_id", "level", "block", "amount", none.cast("double").alias("ticket"), "tie"))
+    # tickets come before asks of the same amount, so what precedes an ask is at most its amount and what follows is more
+    sweep = Window.partitionBy("merchant_id", "level", "block").orderBy("amount", F.col("ticket").isNull())
+    upto = sweep.rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.select("merchant_id", "tie", F.count("ticket").over(upto).alias("upto"), F.max("ticket").over(upto).alias("below"),
+                       F.expr("lead(ticket) IGNORE NULLS OVER (PARTITION BY merchant_id, level, block ORDER BY amount, ticket IS NULL)").alias("over"))
+    found = seen.where("tie IS NOT NULL").groupBy("merchant_id", "tie").agg(F.sum("upto").alias("upto"), F.max("below").alias("below"), F.min("over").alias("over"))
+    return windows.select("merchant_id", "tie", "n").join(found, ["merchant_id", "tie"])
+
+
+def above_bar(firsts: DataFrame, merchants: DataFrame, bars: DataFrame, rules: MerchantRules = P10, hot: DataFrame | None = None, split: Split = SPLIT) -> DataFrame:
     """First-time payments at or above the merchant's bar: the category p99, raised to the merchant's own recent p99.
 
-    Only payments that already pass the category bar look at the merchant's own tickets. Whether one passes the own p99
-    follows from four mergeable aggregates over its window (count, count above it, nearest value on each side), so the
-    window is never collected; the join is keyed by merchant and day.
+    Only payments that already pass the category bar ask for the merchant's own tickets (see `_own_tickets`). `tie` names a
+    payment within its merchant.
     """
     m = merchants.select("merchant_id", "category", "onboarded_us").join(bars, "category", "left")
-    c = firsts.where("first").join(m, "merchant_id").where("cat_p99 IS NOT NULL AND amount >= cat_p99")
+    c = cut(firsts.where("first").join(m, "merchant_id").where("cat_p99 IS NOT NULL AND amount >= cat_p99"))
     old = F.col("t_us") - F.col("onboarded_us") >= rules.established_days * DAY
-    day = F.floor(F.col("t_us") / DAY)
-    span = rules.own_days * DAY
-    mine = c.where(old).select(
-        "merchant_id", "t_us", "tie", "amount", F.explode(F.sequence(F.floor((F.col("t_us") - span) / DAY), day)).alias("day")
-    )
-    own = firsts.select("merchant_id", F.col("t_us").alias("x_t"), F.col("tie").alias("x_tie"), F.col("amount").alias("x_amount"), day.alias("day"))
-    x = mine.join(own, ["merchant_id", "day"]).where((F.col("x_t") >= F.col("t_us") - span) & ((F.col("x_t") < F.col("t_us")) | ((F.col("x_t") == F.col("t_us")) & (F.col("x_tie") < F.col("tie")))))
-    gt = F.col("x_amount") > F.col("amount")
-    g = x.groupBy("merchant_id", "t_us", "tie").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(gt, 1)).alias("n_gt"), F.max(F.when(~gt, F.col("x_amount"))).alias("below"), F.min(F.when(gt, F.col("x_amount"))).alias("over")
-    )
+    own = _own_tickets(firsts, c.where(old).select("merchant_id", "tie"), rules, hot, split)
     k = (F.col("n") - 1) * 0.99
-    lo, upto = F.floor(k), F.col("n") - F.col("n_gt")
+    lo = F.floor(k)
     at_gap = F.col("amount") >= F.col("below") + (F.col("over") - F.col("below")) * (k - lo)
-    passes = F.when(F.col("n").isNull() | (F.col("n") < rules.own_min_tickets), F.lit(True)).when(upto >= lo + 2, True).when(upto <= lo, False).otherwise(
-        F.col("over").isNull() | at_gap)
-    return c.join(g, ["merchant_id", "t_us", "tie"], "left").where(passes).select(*firsts.columns)
+    passes = F.when(F.col("n").isNull(), F.lit(True)).when(F.col("upto") >= lo + 2, True).when(F.col("upto") <= lo, False).otherwise(F.col("over").isNull() | at_gap)
+    return c.join(own, ["merchant_id", "tie"], "left").where(passes).select(*firsts.columns)
 
 
 def _in_out(df: DataFrame, t: str, extra: dict[str, str]) -> DataFrame:
@@ -71,7 +112,7 @@ def hot_merchants(pays: DataFrame, split: Split = SPLIT) -> DataFrame | None:
 
 
 def d1_alerts(firsts: DataFrame, merchants: DataFrame, bars: DataFrame, rules: MerchantRules = P10, hot: DataFrame | None = None, split: Split = SPLIT) -> DataFrame:
-    ev = _in_out(above_bar(firsts, merchants, bars, rules), "t_us", {"d": "1"})
+    ev = _in_out(above_bar(firsts, merchants, bars, rules, hot, split), "t_us", {"d": "1"})
     r = running(with_segment(ev, ["merchant_id"], hot, split=split), ["merchant_id"], ["t_us", "ord", "tie"], sums={"n": F.col("d")})
     return _first_time(r, f"ord = 0 AND n >= {rules.d1_count}", "D1")
 

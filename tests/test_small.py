@@ -85,7 +85,9 @@ def test_own_p99_equals_numpy(spark):
     m = spark.createDataFrame([(1, "kirana", T0 - 90 * DAY)], "merchant_id bigint, category string, onboarded_us bigint")
     bars = spark.createDataFrame([("kirana", 150.0)], "category string, cat_p99 double")
     f = Mr.first_payments(p, Split(hot_rows=5))
-    got = {x["t_us"] for x in Mr.above_bar(f, m, bars, MerchantRules()).collect()}
+    hot = Mr.hot_merchants(p, Split(hot_rows=5))
+    got = {x["t_us"] for x in Mr.above_bar(f, m, bars, MerchantRules(), hot, Split(hot_rows=5)).collect()}
+    assert got == {x["t_us"] for x in Mr.above_bar(f, m, bars, MerchantRules()).collect()}
     seen, want = set(), set()
     for i, (_, payer, _, a, t) in enumerate(rows):
         first = payer not in seen
@@ -97,6 +99,16 @@ def test_own_p99_equals_numpy(spark):
     assert got == want and want
 
 
+def test_rank_blocks_cover_a_range_once(spark):
+    r = random.Random(3)
+    spans = [(lo, lo + r.randrange(0, 700)) for lo in (r.randrange(3000) for _ in range(200))] + [(0, 3 * 8**6 + 5), (7, 8), (0, 0)]
+    df = spark.createDataFrame(spans, "lo bigint, hi bigint").selectExpr("lo", "hi", f"{Mr._rank_blocks('lo', 'hi')} AS blocks")
+    for x in df.collect():
+        parts = sorted((b["block"] << 3 * b["level"], (b["block"] + 1) << 3 * b["level"]) for b in x["blocks"])
+        ends = [x["lo"], *(e for _, e in parts)]
+        assert [s for s, _ in parts] == ends[:-1] and ends[-1] == max(x["lo"], x["hi"]) and len(parts) <= 14 * 7 + 3
+
+
 def test_shared_settlement_needs_different_entities(spark):
     m = spark.createDataFrame([(1, "S", "E1", T0), (2, "S", "E1", T0 + 5), (3, "S", "E2", T0 + 9), (4, "Z", "E1", T0)], "merchant_id bigint, settlement_account string, legal_entity string, onboarded_us bigint")
     assert {(r["merchant_id"], r["t_us"]) for r in Mr.d4_alerts(m, T0).collect()} == {(1, T0 + 9), (2, T0 + 9), (3, T0 + 9)}
