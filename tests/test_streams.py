@@ -1,6 +1,6 @@
 """Streams by micro-batches: repeated batches, late payments, lines that hold no payment."""
 
-from util import frame, pay, people
+from util import T0, frame, pay, people
 
 from paysift.functions.registry_text import address_key
 from paysift.functions.scalars import iso_time
@@ -95,3 +95,33 @@ def test_context_has_no_cap_unless_asked(spark):
     full = graph.context_edges(frame(spark, rows)).where("row = 11").count()
     capped = graph.context_edges(frame(spark, rows), max_fanin=4).where("row = 11").count()
     assert (full, capped) == (12, 4)
+
+
+def test_settlement_timers_hold_and_take_late_payments(spark, tmp_path):
+    """A payment known only after its batch waits for the next one; a hold over two batches keeps all money back."""
+    from paysift.params import DAY, HOUR
+    from paysift.streaming import ingest
+    from paysift.streaming.settlement import EVENTS, settlement_stream
+
+    def at(day, hour):
+        return T0 + day * DAY + hour * HOUR
+
+    slices = [
+        [(1, "pay", at(0, 9), at(0, 9), 500, 0, 0), (1, "pay", at(0, 10), at(0, 10), 700, 1, 0), (2, "pay", at(0, 11), at(0, 11), 40, 0, 0), (2, "hold", at(0, 12), at(0, 12), 0, 0, at(2, 12))],
+        [(1, "pay", at(1, 7), at(0, 23), 9, 0, 0), (2, "pay", at(1, 8), at(1, 8), 60, 0, 0)],  # the first was made on day 0, known after its batch
+        [(1, "pay", at(4, 1), at(4, 1), 3, 0, 0), (-1, "tick", at(5, 7), at(5, 7), 0, 0, 0)],
+    ]
+    for i, rows in enumerate(slices):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{i}")
+    schema = spark.createDataFrame([], EVENTS).schema
+    for name in ("once", "again"):  # again: one slice per run, so state and timers come back from the checkpoint
+        for upto in [3] if name == "once" else [1, 2, 3]:
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json([f"{tmp_path}/in/{{0,1,2}}", f"{tmp_path}/in/{{0,1}}", f"{tmp_path}/in/0"][3 - upto])
+            out = settlement_stream(stream, T0)
+            q = out.writeStream.foreachBatch(ingest.sink_to(f"{tmp_path}/{name}")).option("checkpointLocation", f"{tmp_path}/{name}_c").trigger(availableNow=True).start()
+            q.awaitTermination()
+        got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}").drop("batch_id").collect())
+        assert got == [
+            (1, 1, False, 2, 1200, 700, None), (1, 2, False, 1, 9, 0, None), (1, 5, False, 1, 3, 0, None),
+            (2, 1, True, 1, 40, 0, at(2, 12)), (2, 2, True, 2, 100, 0, at(2, 12)), (2, 3, False, 2, 100, 0, None),
+        ]
