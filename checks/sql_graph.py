@@ -3,6 +3,7 @@
 from .sql_metrics import TEST, A, P
 
 S, DAY = 1_704_067_200_000_000, 86_400_000_000
+TRAIN = f"t_us >= {S} AND t_us < {S + 6 * DAY}"
 # plain enumeration, one level after another; the cut to 200 is applied once, at the end
 PATHS = """sd AS (SELECT DISTINCT account_id AS seed FROM alerts WHERE status NOT IN ('cleared', 'superseded')),
 h1 AS (SELECT seed, [seed, to_id] AS nodes, [(t_us, row)] AS legs FROM sd JOIN pay ON from_id = seed WHERE to_id <> seed),
@@ -35,9 +36,11 @@ SQL = {
     "neighbour_relation_means": P() + "SELECT to_id AS account_id, round(avg(ln(1+amount)) FILTER (channel='P2M'), 6) AS \"P2M\", round(avg(ln(1+amount)) FILTER (channel='P2P'), 6) AS \"P2P\" FROM pay GROUP BY 1",
     "ego_flags": P() + "SELECT account_id, max(f) AS ego FROM (SELECT from_id AS account_id, is_fraud AS f FROM pay UNION ALL SELECT to_id, is_fraud FROM pay) GROUP BY 1",
     "paid_by_flagged": P() + "SELECT DISTINCT to_id AS account_id FROM pay WHERE from_id IN (SELECT to_id FROM pay GROUP BY 1 HAVING max(score) >= 1.0)",
-    "spliced_node_ids": P(f"""kn AS (SELECT key, row_number() OVER (ORDER BY min((row, o))) - 1 AS id FROM (SELECT from_id AS key, row, 0 AS o FROM pay WHERE t_us < {S + DAY // 4} UNION ALL SELECT to_id, row, 1 FROM pay WHERE t_us < {S + DAY // 4}) GROUP BY 1),
+    "spliced_node_ids": P(f"""kn AS (SELECT key, row_number() OVER (ORDER BY min((row, o))) - 1 AS id FROM (SELECT from_id AS key, row, 0 AS o FROM pay WHERE {TRAIN} UNION ALL SELECT to_id, row, 1 FROM pay WHERE {TRAIN}) GROUP BY 1),
   ts AS (SELECT key, min((row, o)) AS f FROM (SELECT from_id AS key, row, 0 AS o FROM pay WHERE {TEST} UNION ALL SELECT to_id, row, 1 FROM pay WHERE {TEST}) GROUP BY 1)""")
     + "SELECT key, id, true AS known FROM ts JOIN kn USING (key) UNION ALL SELECT key, (SELECT max(id) + 1 FROM kn) + row_number() OVER (ORDER BY f) - 1, false FROM ts WHERE key NOT IN (SELECT key FROM kn)",
+    "amounts_permuted_in_test": P(f"""tt AS (SELECT row, amount, row_number() OVER (ORDER BY row) AS k, row_number() OVER (ORDER BY md5('42|' || row), row) AS j FROM pay WHERE {TEST})""")
+    + "SELECT p.row, round(ln(1 + coalesce(b.amount, p.amount)), 9) AS log_amount FROM pay p LEFT JOIN tt a ON a.row = p.row LEFT JOIN tt b ON b.j = a.k",
     "positive_class_weight": P() + f"SELECT round((count(*) - sum(is_fraud))::DOUBLE / sum(is_fraud), 9) AS positive_weight FROM pay WHERE t_us < {S + 6 * DAY}",
     "f1_by_time_step": P(f"x AS (SELECT (t_us - {S}) // {DAY} AS day, is_fraud AS y, score >= 0.86 AS hit FROM pay), y2 AS (SELECT 'day ' || day AS part, y, hit FROM x UNION ALL SELECT CASE WHEN day < 5 THEN 'before' ELSE 'after' END, y, hit FROM x)")
     + "SELECT part, tp, fp, fn, round(CASE WHEN tp > 0 THEN 2.0*(tp::DOUBLE/(tp+fp))*(tp::DOUBLE/(tp+fn))/((tp::DOUBLE/(tp+fp))+(tp::DOUBLE/(tp+fn))) ELSE 0.0 END, 9) AS f1 FROM (SELECT part, count(*) FILTER (hit AND y=1) AS tp, count(*) FILTER (hit AND y=0) AS fp, count(*) FILTER (NOT hit AND y=1) AS fn FROM y2 GROUP BY 1)",

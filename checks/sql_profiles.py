@@ -74,8 +74,6 @@ SQL = {
   CASE WHEN self_flagged THEN 'itself under alert' WHEN direct > 0 THEN 'direct links to flagged accounts: ' || direct WHEN g >= 0.9 THEN 'high model score on a transfer' WHEN second_hop > 0 THEN 'second-hop links only: ' || second_hop ELSE 'no links' END AS reason FROM onb""",
     "onboarding_second_hop": A("r2.0", LEGS, SEEN, V_REGISTRY, ONB) + "SELECT account_id, direct, second_hop FROM onb",
     "account_status": A("r2.0", SEEN, V_REGISTRY) + "SELECT v.vpa, s.account_id, s.account_id IS NOT NULL AS seen, coalesce(n, 0) > 0 AS flagged, false AS held, coalesce(n, 0) AS live_alerts FROM (SELECT DISTINCT vpa FROM v_entity_accounts) v LEFT JOIN seen s USING (vpa) LEFT JOIN (SELECT account_id, count(*) AS n FROM alerts WHERE status <> 'cleared' GROUP BY 1) USING (account_id)",
-    "evidence_pack": A("r2.0", "mb AS (SELECT DISTINCT v.state AS case_id, account_id FROM alerts JOIN v_accounts v USING (account_id) WHERE status NOT IN ('cleared', 'superseded'))") + """SELECT case_id, count(*) AS transactions, count(*) FILTER (i AND o) AS links, CAST(coalesce(sum(amount_p) FILTER (i AND NOT o), 0) AS BIGINT) AS money_in_p, CAST(coalesce(sum(amount_p) FILTER (o AND NOT i), 0) AS BIGINT) AS exited_p
-  FROM (SELECT c.case_id, p.*, EXISTS (SELECT 1 FROM mb WHERE mb.case_id = c.case_id AND mb.account_id = p.to_id) AS i, EXISTS (SELECT 1 FROM mb WHERE mb.case_id = c.case_id AND mb.account_id = p.from_id) AS o FROM (SELECT DISTINCT case_id FROM mb) c, pay p) WHERE i OR o GROUP BY 1""",
     "evidence_timeline": A("r2.0", ACTIONS) + "SELECT account_id, created_us AS at_us, 'alert' AS kind, detector || ' (' || severity || ')' AS text FROM alerts UNION ALL SELECT account_id, at_us, 'action', 'analyst: ' || action || '. ' || note FROM ac WHERE note <> ''",
     "alert_status_after_actions": A("r2.0", ACTIONS, AFTER) + "SELECT detector, account_id, status, status = 'cleared' AND gnn_max >= 0.86 AS override FROM aft",
     "router_levels": A() + ROUTE.format("alerts"),

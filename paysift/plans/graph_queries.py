@@ -120,10 +120,10 @@ def paid(spark, sf):
 
 @query("spliced_node_ids")
 def splice(spark, sf):
-    """Accounts of the test days on the ids of those seen in the first six hours; unseen accounts get the next ids in
-    first-seen order."""
+    """Accounts of the test days on the ids of those seen in the train days; unseen accounts get the next ids in first-seen
+    order."""
     e = edges(spark, sf)
-    train = e.where(F.col("t_us") < V.BASE_US + DAY // 4)
+    train = e.where(in_split("train"))
     bucket = F.floor(F.col("row") / 65_536)
     known = files.dense_ids(train, ["row"], bucket, ["from_id", "to_id"], "id")
     test = files.dense_ids(e.where(in_split("test")), ["row"], bucket, ["from_id", "to_id"], "test_id")
@@ -225,8 +225,8 @@ def by_step(spark, sf):
 @query("amounts_permuted_in_test")
 def permuted(spark, sf):
     """The log amount shuffled among the test-day payments only (seeded): rank by row meets rank by hash."""
-    t = edges(spark, sf).where(in_split("test")).select("row", "amount", F.xxhash64("row", F.lit(42)).alias("h"))
+    t = edges(spark, sf).where(in_split("test")).select("row", "amount", F.md5(F.concat(F.lit("42|"), F.col("row").cast("string"))).alias("h"))
     b = files.global_index(t.select("row"), ["row"], F.floor(F.col("row") / 65_536), "k")
-    c = files.global_index(t.select("amount", "h", "row"), ["h", "row"], F.shiftright("h", 52), "k").select("k", F.col("amount").alias("new_amount"))
+    c = files.global_index(t.select("amount", "h", "row"), ["h", "row"], F.conv(F.substring("h", 1, 3), 16, 10).cast("int"), "k").select("k", F.col("amount").alias("new_amount"))
     moved = b.join(c, "k").select("row", "new_amount")
-    return edges(spark, sf).join(moved, "row", "left").select("row", S.log_amount(F.coalesce("new_amount", "amount")).alias("log_amount"))
+    return edges(spark, sf).join(moved, "row", "left").select("row", F.round(S.log_amount(F.coalesce("new_amount", "amount")), 9).alias("log_amount"))

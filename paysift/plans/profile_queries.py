@@ -134,8 +134,10 @@ def status(spark, sf):
 
 @query("evidence_pack")
 def pack(spark, sf):
-    """Cases here are the accounts under a live alert, grouped by home state."""
-    m = stored_alerts(spark, sf).where(LIVE).join(V.accounts(spark, sf).select("account_id", "state"), "account_id").select(F.col("state").alias("case_id"), "account_id")
+    """Per case of escalated or frozen alerts: its payments, internal links, money in and money that left."""
+    from .decision_queries import cases
+
+    m = cases(spark, sf).select(F.col("case_event").alias("case_id"), "account_id")
     return P.evidence_pack(V.payments(spark, sf), m)
 
 
