@@ -125,3 +125,26 @@ def test_settlement_timers_hold_and_take_late_payments(spark, tmp_path):
             (1, 1, False, 2, 1200, 700, None), (1, 2, False, 1, 9, 0, None), (1, 5, False, 1, 3, 0, None),
             (2, 1, True, 1, 40, 0, at(2, 12)), (2, 2, True, 2, 100, 0, at(2, 12)), (2, 3, False, 2, 100, 0, None),
         ]
+
+
+def test_d1_on_a_stream_equals_the_batch_detector(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from paysift.operators import merchant as Mr
+    from paysift.params import DAY
+
+    r = random.Random(12)
+    rows = [(m, r.randrange(400), T0 + int(i * 9 * DAY / 600) + m, (i, m), float(r.choice([100, 150, 300, r.randint(90, 400)]))) for i in range(600) for m in (1, 2)]
+    schema = "merchant_id bigint, payer_id bigint, t_us bigint, tie struct<i: int, m: bigint>, amount double"
+    shops = spark.createDataFrame([(1, "kirana", T0 - 90 * DAY), (2, "kirana", T0)], "merchant_id bigint, category string, onboarded_us bigint")
+    bars = spark.createDataFrame([("kirana", 290.0)], "category string, cat_p99 double")
+    sink = detect.ticket_sink(str(tmp_path), shops, bars, split=Split(hot_rows=100))
+    for i, lo in enumerate((0, 400, 800)):
+        for _ in range(1 + (i == 1)):  # the second batch comes twice
+            sink(spark.createDataFrame(rows[lo:lo + 400], schema), i)
+    want = Mr.d1_alerts(Mr.first_payments(spark.createDataFrame(rows, schema)), shops, bars)
+    got = detect.ticket_alerts(spark, str(tmp_path))
+    assert sorted((x.merchant_id, x.t_us) for x in got.collect()) == sorted((x.merchant_id, x.t_us) for x in want.collect()) != []
+    assert spark.read.parquet(f"{tmp_path}/tickets").agg(F.count("*")).first()[0] == len(rows)
