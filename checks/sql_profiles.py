@@ -45,6 +45,31 @@ sec AS (SELECT a.account_id, count(DISTINCT b.other_id) AS second_hop FROM ap JO
 onb AS (SELECT ap.account_id, coalesce((SELECT count(*) FROM lg WHERE lg.account_id = ap.account_id), 0) AS txns, coalesce((SELECT count(*) FROM cp WHERE cp.account_id = ap.account_id), 0) AS counterparties,
   ap.account_id IN (SELECT account_id FROM fl) AS self_flagged, coalesce(direct, 0) AS direct, coalesce(second_hop, 0) AS second_hop, coalesce((SELECT max(score) FROM lg WHERE lg.account_id = ap.account_id), 0.0) AS g
   FROM ap LEFT JOIN dir USING (account_id) LEFT JOIN sec USING (account_id))"""
+# the lifecycle once more, event by event
+LIFE = f"""lv AS (SELECT account_id, detector, gnn_max, at_us, {ORD} AS d, CASE WHEN detector = 'model_only' THEN 0 WHEN severity = 'critical' THEN CASE WHEN gnn_max >= 0.86 THEN 3 ELSE 2 END
+    WHEN severity = 'high' THEN CASE WHEN gnn_max >= 0.86 THEN 2 ELSE 1 END ELSE 0 END AS level
+  FROM (SELECT *, created_us AS at_us FROM alerts UNION ALL SELECT *, updated_us FROM alerts WHERE updated_us <> created_us)),
+le0 AS (SELECT account_id, 'raise' AS kind, d, 0 AS level, at_us, '' AS note, gnn_max AS g, d + 10 AS seq FROM lv UNION ALL SELECT account_id, 'hold', d, level, at_us, '', 0, d + 20 FROM lv WHERE level > 0
+  UNION ALL SELECT account_id, 'lift', 0, 0, at_us + [1, 24, 72][level] * {HOUR}, '', 0, d + 30 FROM lv WHERE level > 0 UNION ALL SELECT account_id, action, {ORD}, 0, at_us, note, 0, {ORD} + 40 FROM ac),
+le AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY at_us, seq) AS k FROM le0),
+run AS (SELECT account_id, CAST(0 AS BIGINT) AS k, ['', '', '', '', '', ''] AS st, [CAST(NULL AS BIGINT), NULL, NULL, NULL, NULL, NULL] AS since, [CAST(NULL AS BIGINT), NULL, NULL, NULL, NULL, NULL] AS filed, [0.0::DOUBLE, 0, 0, 0, 0, 0] AS top,
+    0 AS lvl, CAST(0 AS BIGINT) AS who, CAST(NULL AS BIGINT) AS fz, '' AS kind, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS at_us, false AS ok, false AS over, '' AS was, true AS born, '' AS note FROM (SELECT DISTINCT account_id FROM le)
+  UNION ALL SELECT account_id, k, st2, since2, filed2, top2, CASE WHEN kind = 'clear' AND ok AND lvl > 0 AND NOT list_contains(st2, 'held') THEN 0 ELSE lvl2 END, who2, fz2, kind, d, at_us, ok, over, was, born, note FROM (
+    SELECT *, CASE WHEN ok AND kind IN ('raise', 'hold', 'lift', 'clear', 'escalate', 'freeze') THEN list_transform(st, lambda x, i: CASE
+        WHEN kind = 'raise' AND i = d THEN 'open' WHEN kind = 'raise' AND i = 6 AND x = 'open' THEN 'superseded' WHEN kind = 'hold' AND i = d AND level >= 2 THEN 'held'
+        WHEN kind = 'lift' AND i = who AND x = 'held' THEN 'open' WHEN kind = 'clear' AND i = d THEN 'cleared' WHEN kind = 'escalate' AND i = d AND x <> 'held' THEN 'escalated'
+        WHEN kind = 'freeze' AND x IN ('open', 'held', 'escalated') THEN 'frozen' ELSE x END) ELSE st END AS st2,
+      CASE WHEN kind = 'raise' AND ok THEN list_transform(since, lambda x, i: CASE WHEN i = d THEN at_us ELSE x END) ELSE since END AS since2,
+      CASE WHEN kind = 'raise' THEN list_transform(top, lambda x, i: CASE WHEN i = d AND st[i] <> 'cleared' THEN greatest(x, g) ELSE x END) ELSE top END AS top2,
+      CASE WHEN ok AND ((kind = 'hold' AND level >= 2) OR kind IN ('escalate', 'freeze')) THEN list_transform(filed, lambda x, i: CASE WHEN i = d OR (kind = 'freeze' AND st[i] IN ('open', 'held', 'escalated')) THEN coalesce(x, at_us) ELSE x END) ELSE filed END AS filed2,
+      CASE WHEN ok AND kind = 'hold' THEN level WHEN ok AND kind IN ('lift', 'freeze') THEN 0 ELSE lvl END AS lvl2, CASE WHEN ok AND kind = 'hold' THEN d ELSE who END AS who2,
+      CASE WHEN ok AND kind = 'freeze' THEN at_us ELSE fz END AS fz2, ok AND kind = 'clear' AND (lvl > 0 OR top[d] >= 0.86) AS over
+    FROM (SELECT r.account_id, e.k, e.kind, e.d, e.level, e.at_us, e.note, e.g, r.st, r.since, r.filed, r.top, r.lvl, r.who, r.fz, r.st[e.d] AS was, r.st[e.d] <> '' AS born,
+        CASE e.kind WHEN 'raise' THEN r.st[e.d] = '' AND r.fz IS NULL WHEN 'hold' THEN r.fz IS NULL AND r.st[e.d] IN ('open', 'held', 'escalated') AND e.level > r.lvl WHEN 'lift' THEN r.lvl > 0
+          ELSE trim(e.note) <> '' AND r.st[e.d] IN ('open', 'held', 'escalated') END AS ok
+      FROM run r JOIN le e ON e.account_id = r.account_id AND e.k = r.k + 1))),
+fin AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY k DESC) = 1),
+las AS (SELECT account_id, (['inflow_new_payers','structuring','fan_in_new_payers','pass_through','hop_from_flagged','model_only'])[i] AS detector, since[i] AS raised_us, st[i] AS status, filed[i] AS filed_us FROM fin, (SELECT unnest([1,2,3,4,5,6]) AS i) WHERE st[i] <> '')"""
 FANDAY = f"""px AS (SELECT *, (t_us - {S}) // {DAY} AS d0 FROM pay WHERE channel = 'P2P' AND t_us < {S + 6 * DAY} AND to_id IN (SELECT account_id FROM v_accounts WHERE kind = 'individual')),
 fd AS (SELECT a.to_id, a.d0, coalesce(n, 0) AS n FROM (SELECT DISTINCT to_id, d0 FROM px) a LEFT JOIN (SELECT to_id, d0, count(*) AS n FROM (SELECT from_id, to_id, min(d0) AS d0 FROM px GROUP BY 1, 2) WHERE d0 >= 3 GROUP BY 1, 2) b USING (to_id, d0))"""
 
@@ -73,7 +98,20 @@ SQL = {
     "onboarding_check": A("r2.0", LEGS, SEEN, V_REGISTRY, ONB) + """SELECT account_id, txns, counterparties, self_flagged, direct, second_hop, CASE WHEN self_flagged OR direct > 0 OR g >= 0.9 THEN 'hold' ELSE 'approve' END AS decision,
   CASE WHEN self_flagged THEN 'itself under alert' WHEN direct > 0 THEN 'direct links to flagged accounts: ' || direct WHEN g >= 0.9 THEN 'high model score on a transfer' WHEN second_hop > 0 THEN 'second-hop links only: ' || second_hop ELSE 'no links' END AS reason FROM onb""",
     "onboarding_second_hop": A("r2.0", LEGS, SEEN, V_REGISTRY, ONB) + "SELECT account_id, direct, second_hop FROM onb",
-    "account_status": A("r2.0", SEEN, V_REGISTRY) + "SELECT v.vpa, s.account_id, s.account_id IS NOT NULL AS seen, coalesce(n, 0) > 0 AS flagged, false AS held, coalesce(n, 0) AS live_alerts FROM (SELECT DISTINCT vpa FROM v_entity_accounts) v LEFT JOIN seen s USING (vpa) LEFT JOIN (SELECT account_id, count(*) AS n FROM alerts WHERE status <> 'cleared' GROUP BY 1) USING (account_id)",
+    "onboarding_vpas": A("r2.0", LEGS, SEEN, V_REGISTRY, ONB, """fs AS (SELECT account_id, max(score) AS score FROM alerts WHERE status NOT IN ('cleared', 'superseded') GROUP BY 1),
+  se AS (SELECT ap.account_id, b.other_id AS second_account, a.other_id AS via, CAST(fs.score AS INT) AS second_score FROM ap JOIN cp a USING (account_id) JOIN cp b ON b.account_id = a.other_id JOIN fs ON fs.account_id = b.other_id
+    WHERE b.other_id <> ap.account_id AND NOT EXISTS (SELECT 1 FROM cp z WHERE z.account_id = ap.account_id AND z.other_id = b.other_id)),
+  be AS (SELECT * FROM se QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY second_score DESC, md5(second_account), second_account, via) = 1)""")
+    + """SELECT v.vpa, s.account_id, s.account_id IS NOT NULL AS known, coalesce(txns, 0) AS txns, coalesce(counterparties, 0) AS counterparties, coalesce(self_flagged, false) AS self_flagged, coalesce(direct, 0) AS direct, coalesce(second_hop, 0) AS second_hop,
+  second_account, second_score, via, CASE WHEN self_flagged OR direct > 0 OR g >= 0.9 THEN 'hold' ELSE 'approve' END AS decision,
+  CASE WHEN s.account_id IS NULL THEN 'not seen in any payment' WHEN self_flagged THEN 'itself under alert' WHEN direct > 0 THEN 'direct links to flagged accounts: ' || direct WHEN g >= 0.9 THEN 'high model score on a transfer' WHEN second_hop > 0 THEN 'second-hop links only: ' || second_hop ELSE 'no links' END AS reason
+  FROM (SELECT DISTINCT vpa FROM v_entity_accounts) v LEFT JOIN seen s USING (vpa) LEFT JOIN onb USING (account_id) LEFT JOIN be USING (account_id)""",
+    "account_status": A("r2.0", ACTIONS, LIFE, SEEN, V_REGISTRY).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT v.vpa, s.account_id, s.account_id IS NOT NULL AS seen, coalesce(n, 0) > 0 AS flagged, coalesce(fin.lvl > 0, false) AS held, fin.fz IS NOT NULL AS frozen, coalesce(n, 0) AS live_alerts
+  FROM (SELECT DISTINCT vpa FROM v_entity_accounts) v LEFT JOIN seen s USING (vpa) LEFT JOIN (SELECT account_id, count(*) AS n FROM las WHERE status <> 'cleared' GROUP BY 1) c ON c.account_id = s.account_id LEFT JOIN fin ON fin.account_id = s.account_id""",
+    "alert_lifecycle": A("r2.0", ACTIONS, LIFE).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT account_id, detector, raised_us, status, filed_us FROM las",
+    "action_outcomes": A("r2.0", ACTIONS, LIFE).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT account_id, (['inflow_new_payers','structuring','fan_in_new_payers','pass_through','hop_from_flagged','model_only'])[d] AS detector, kind, at_us, ok AS accepted,
+  CASE WHEN trim(note) = '' THEN 'no note' WHEN NOT born THEN 'no alert' WHEN NOT ok THEN 'closed' END AS refused, over AS override, CASE WHEN ok AND kind = 'clear' AND was = 'held' THEN 'release_hold' WHEN ok THEN kind END AS logged FROM run WHERE kind IN ('clear', 'escalate', 'freeze')""",
+    "account_restrictions": A("r2.0", ACTIONS, LIFE).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT account_id, lvl AS level, CASE WHEN lvl > 0 THEN (['inflow_new_payers','structuring','fan_in_new_payers','pass_through','hop_from_flagged','model_only'])[who] END AS held_by, fz AS frozen_us FROM fin",
     "evidence_timeline": A("r2.0", ACTIONS) + "SELECT account_id, created_us AS at_us, 'alert' AS kind, detector || ' (' || severity || ')' AS text FROM alerts UNION ALL SELECT account_id, at_us, 'action', 'analyst: ' || action || '. ' || note FROM ac WHERE note <> ''",
     "alert_status_after_actions": A("r2.0", ACTIONS, AFTER) + "SELECT detector, account_id, status, status = 'cleared' AND gnn_max >= 0.86 AS override FROM aft",
     "router_levels": A() + ROUTE.format("alerts"),

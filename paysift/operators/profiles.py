@@ -99,37 +99,15 @@ def counterparties(payments: DataFrame) -> DataFrame:
     return legs(payments).where("account_id <> other_id").select("account_id", "other_id").distinct()
 
 
-def flagged_accounts(alerts: DataFrame) -> DataFrame:
-    return alerts.where("status <> 'cleared'").select("account_id").distinct()
-
-
-def onboarding_check(applicants: DataFrame, payments: DataFrame, alerts: DataFrame, strong_score: float = 0.9) -> DataFrame:
-    """Applicants' accounts: flagged themselves, flagged direct counterparties, flagged second-hop ones, highest score."""
-    cp, fl = counterparties(payments), flagged_accounts(alerts)
-    me = applicants.select("account_id").distinct()
-    mine = cp.join(me, "account_id", "left_semi")
-    direct = mine.join(fl.withColumnRenamed("account_id", "other_id"), "other_id", "left_semi").groupBy("account_id").agg(F.count(F.lit(1)).alias("direct"))
-    n = mine.groupBy("account_id").agg(F.count(F.lit(1)).alias("counterparties"))
-    # the middle side only keeps links to flagged accounts
-    to_flagged = cp.join(fl.withColumnRenamed("account_id", "other_id"), "other_id", "left_semi").select(F.col("account_id").alias("via"), F.col("other_id").alias("second"))
-    second = mine.withColumnRenamed("other_id", "via").join(to_flagged, "via").where("second <> account_id").select("account_id", "second").distinct()
-    second = second.join(mine.select("account_id", F.col("other_id").alias("second")), ["account_id", "second"], "left_anti").groupBy("account_id").agg(F.count(F.lit(1)).alias("second_hop"))
-    rows = legs(payments).join(me, "account_id", "left_semi").groupBy("account_id").agg(F.count(F.lit(1)).alias("txns"), F.max("score").alias("gnn_max"))
-    x = me.join(rows, "account_id", "left").join(n, "account_id", "left").join(direct, "account_id", "left").join(second, "account_id", "left").join(
-        fl.withColumn("self_flagged", F.lit(True)), "account_id", "left")
-    x = x.na.fill(0, ["txns", "counterparties", "direct", "second_hop"]).na.fill(0.0, ["gnn_max"]).na.fill(False, ["self_flagged"])
-    strong = F.col("self_flagged") | (F.col("direct") > 0) | (F.col("gnn_max") >= strong_score)
-    why = (F.when(F.col("self_flagged"), "itself under alert").when(F.col("direct") > 0, F.concat(F.lit("direct links to flagged accounts: "), F.col("direct").cast("string")))
-           .when(F.col("gnn_max") >= strong_score, "high model score on a transfer").when(F.col("second_hop") > 0, F.concat(F.lit("second-hop links only: "), F.col("second_hop").cast("string"))).otherwise("no links"))
-    return x.select("account_id", "txns", "counterparties", "self_flagged", "direct", "second_hop", F.when(strong, "hold").otherwise("approve").alias("decision"), why.alias("reason"))
-
-
-def account_status(vpas: DataFrame, seen: DataFrame, alerts: DataFrame, restrictions: DataFrame | None = None) -> DataFrame:
-    """VPA -> seen, account, flagged, held, number of live alerts."""
+def account_status(vpas: DataFrame, seen: DataFrame, alerts: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """VPA -> seen, account, flagged, held, frozen, number of uncleared alerts. `accounts` is the lifecycle's third table;
+    without it nothing is held or frozen."""
     live = alerts.where("status <> 'cleared'").groupBy("account_id").agg(F.count(F.lit(1)).alias("live_alerts"))
     x = vpas.select("vpa").distinct().join(seen, "vpa", "left").join(live, "account_id", "left")
-    x = x.withColumn("held", F.lit(False)) if restrictions is None else x.join(restrictions.select("account_id", F.lit(True).alias("held")).distinct(), "account_id", "left")
-    return x.select("vpa", "account_id", F.col("account_id").isNotNull().alias("seen"), (F.coalesce("live_alerts", F.lit(0)) > 0).alias("flagged"), F.coalesce("held", F.lit(False)).alias("held"), F.coalesce("live_alerts", F.lit(0)).alias("live_alerts"))
+    no = F.lit(False)
+    x = x.withColumns({"held": no, "frozen": no}) if accounts is None else x.join(accounts.select("account_id", (F.col("level") > 0).alias("held"), F.col("frozen_us").isNotNull().alias("frozen")), "account_id", "left")
+    return x.select("vpa", "account_id", F.col("account_id").isNotNull().alias("seen"), (F.coalesce("live_alerts", F.lit(0)) > 0).alias("flagged"), F.coalesce("held", no).alias("held"),
+                    F.coalesce("frozen", no).alias("frozen"), F.coalesce("live_alerts", F.lit(0)).alias("live_alerts"))
 
 
 def evidence_pack(payments: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import alerts as A
 from ..operators import detectors as D
+from ..operators import lifecycle as Lc
+from ..operators import onboarding as On
 from ..operators import profiles as P
 from ..operators.metrics import percentiles
 from ..operators.running import global_index
-from ..params import HOUR, LIVE
+from ..params import HOUR, LEVEL_HOURS, LIVE
 from ..session import cut
 from . import views as V
 from .account_queries import evidence, stored_alerts
@@ -121,15 +123,29 @@ def applicants(spark, sf):
     return P.first_seen_vpas(V.payments(spark, sf)).join(V.entity_accounts(spark, sf).select("vpa").distinct(), "vpa", "left_semi")
 
 
+def onboarding_report(spark, sf):
+    """Every settlement VPA of the registry against the accounts under a live alert."""
+    vpas = V.entity_accounts(spark, sf).select("vpa").distinct().join(P.first_seen_vpas(V.payments(spark, sf)), "vpa", "left")
+    flagged = stored_alerts(spark, sf).where(LIVE).groupBy("account_id").agg(F.max("score").alias("score"))
+    return On.onboarding_report(vpas, V.payments(spark, sf), flagged)
+
+
+@query("onboarding_vpas")
+def onboarding_vpas(spark, sf):
+    """Per settlement VPA, unknown ones too: links, the worst second-hop account, over whom it is reached, and the decision."""
+    return onboarding_report(spark, sf)
+
+
 @query("onboarding_check")
 def onboarding(spark, sf):
-    al = stored_alerts(spark, sf).where(LIVE)
-    return P.onboarding_check(applicants(spark, sf), V.payments(spark, sf), al)
+    return onboarding_report(spark, sf).where("known").select("account_id", "txns", "counterparties", "self_flagged", "direct", "second_hop", "decision", "reason").distinct()
 
 
 @query("account_status")
 def status(spark, sf):
-    return P.account_status(V.entity_accounts(spark, sf), P.first_seen_vpas(V.payments(spark, sf)), stored_alerts(spark, sf))
+    """Settlement VPAs with what is known of their accounts after holds, lifts and people's actions."""
+    alerts, _, accounts = lifecycle(spark, sf)
+    return P.account_status(V.entity_accounts(spark, sf), P.first_seen_vpas(V.payments(spark, sf)), alerts, accounts)
 
 
 @query("evidence_pack")
@@ -162,6 +178,45 @@ def after_actions(spark, sf):
     return P.apply_actions(stored_alerts(spark, sf), actions(spark, sf)).drop("gnn_max")
 
 
+def lifecycle_events(spark, sf) -> DataFrame:
+    """The alert table as a log: keys are raised when first and last seen, the router holds by severity and model agreement,
+    every hold ends after its hours, and people act as in `actions`."""
+    a = stored_alerts(spark, sf).withColumn("o", A.detector_order().cast("bigint"))
+    level = F.expr("CASE severity WHEN 'critical' THEN 2 WHEN 'high' THEN 1 ELSE 0 END")
+    level = F.when(F.col("detector") == "model_only", 0).when((level > 0) & (F.col("gnn_max") >= 0.86), level + 1).otherwise(level)
+    hours = F.element_at(F.array(*[F.lit(LEVEL_HOURS[k]) for k in (1, 2, 3)]), F.col("level"))
+    at = F.explode(F.array_distinct(F.array("created_us", "updated_us")))
+    x = a.select("account_id", "detector", "o", "gnn_max", level.alias("level"), at.alias("at_us"))
+    n = {c: F.lit(None).cast(t).alias(c) for c, t in (("detector", "string"), ("level", "int"), ("score", "double"), ("note", "string"))}
+    raised = x.select("account_id", "detector", F.lit("raise").alias("kind"), n["level"], F.col("gnn_max").alias("score"), n["note"], "at_us", (F.col("o") + 10).alias("seq"))
+    holds = x.where("level > 0").select("account_id", "detector", F.lit("hold").alias("kind"), "level", n["score"], n["note"], "at_us", (F.col("o") + 20).alias("seq"))
+    lifts = x.where("level > 0").select("account_id", n["detector"], F.lit("lift").alias("kind"), n["level"], n["score"], n["note"], (F.col("at_us") + hours * HOUR).alias("at_us"), (F.col("o") + 30).alias("seq"))
+    acts = actions(spark, sf).select("account_id", "detector", F.col("action").alias("kind"), n["level"], n["score"], "note", "at_us", (A.detector_order().cast("bigint") + 40).alias("seq"))
+    return raised.unionByName(holds).unionByName(lifts).unionByName(acts)
+
+
+def lifecycle(spark, sf):
+    return Lc.lifecycle(cut(lifecycle_events(spark, sf)))
+
+
+@query("alert_lifecycle")
+def alert_lifecycle(spark, sf):
+    """Status of every alert and the moment it went to a case."""
+    return lifecycle(spark, sf)[0].select("account_id", "detector", "raised_us", "status", "filed_us")
+
+
+@query("action_outcomes")
+def action_outcomes(spark, sf):
+    """What became of every action: accepted or why not, whether it overrode a hold or the model, what is logged."""
+    return lifecycle(spark, sf)[1].drop("seq")
+
+
+@query("account_restrictions")
+def account_restrictions(spark, sf):
+    """Restriction in force, the alert it rests on, and the freeze of every alerted account."""
+    return lifecycle(spark, sf)[2]
+
+
 @query("router_levels")
 def router(spark, sf):
     return A.route(stored_alerts(spark, sf)).select("account_id", "level", "action")
