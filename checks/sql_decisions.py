@@ -1,7 +1,8 @@
 """DuckDB oracle text for cases, audit chains and investigator tools."""
 
 from .sql_metrics import A, P
-from .sql_profiles import ACTIONS, ORD, ROUTE
+from .sql_profiles import ACTIONS, ORD, ROUTE, STOPPED
+from .sql_profiles import LIFE as ALERT_LIFE
 
 def _f(x: str) -> str:
     return f"coalesce(length({x}::VARCHAR) || ':' || {x}, '-')"
@@ -38,8 +39,9 @@ c AS (SELECT account_id, log_end AS t, 'restriction_expired' AS how FROM r UNION
     FROM e WHERE n % 3 < 2 AND ap < log_end AND (dec IS NULL OR dec > ap + 24 * {H} OR n % 2 = 0))"""
 _MEMBERS = "mb AS (SELECT DISTINCT least(event_no, coalesce((SELECT min(j) FROM rc WHERE i = event_no), event_no)) AS case_id, account_id FROM fi)"
 SQL = {
-    "evidence_pack": A("r2.0", ACTIONS, CASES, _MEMBERS).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT case_id, count(*) AS transactions, count(*) FILTER (i AND o) AS links, CAST(coalesce(sum(amount_p) FILTER (i AND NOT o), 0) AS BIGINT) AS money_in_p, CAST(coalesce(sum(amount_p) FILTER (o AND NOT i), 0) AS BIGINT) AS exited_p
-  FROM (SELECT c.case_id, p.*, EXISTS (SELECT 1 FROM mb WHERE mb.case_id = c.case_id AND mb.account_id = p.to_id) AS i, EXISTS (SELECT 1 FROM mb WHERE mb.case_id = c.case_id AND mb.account_id = p.from_id) AS o FROM (SELECT DISTINCT case_id FROM mb) c, pay p) WHERE i OR o GROUP BY 1""",
+    "evidence_pack": A("r2.0", ACTIONS, CASES, _MEMBERS, ALERT_LIFE, STOPPED).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT case_id, count(*) AS transactions, count(*) FILTER (i AND o) AS links, CAST(coalesce(sum(amount_p) FILTER (i AND NOT o AND NOT z), 0) AS BIGINT) AS money_in_p,
+    CAST(coalesce(sum(amount_p) FILTER (o AND NOT i AND NOT z), 0) AS BIGINT) AS exited_p, CAST(coalesce(sum(amount_p) FILTER (z), 0) AS BIGINT) AS blocked_p
+  FROM (SELECT c.case_id, p.*, p.row IN (SELECT row FROM blk) AS z, EXISTS (SELECT 1 FROM mb WHERE mb.case_id = c.case_id AND mb.account_id = p.to_id) AS i, EXISTS (SELECT 1 FROM mb WHERE mb.case_id = c.case_id AND mb.account_id = p.from_id) AS o FROM (SELECT DISTINCT case_id FROM mb) c, pay p) WHERE i OR o GROUP BY 1""",
     "restriction_lifecycle": A("r2.0", LIFE) + "SELECT account_id, level, at_us, min((t, how))[1] AS ended_us, min((t, how))[2] AS how FROM r JOIN c USING (account_id) GROUP BY 1, 2, 3",
     "score_table_sink": P() + "SELECT is_fraud, count(*) AS n, round(max(score), 6) AS top, 'm1' AS model_id, 5 AS bucket_s, 259200 AS window_s, (SELECT count(*) FROM pay) AS edges FROM pay GROUP BY 1",
     "cases": A("r2.0", ACTIONS, CASES).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT event_no, account_id, least(event_no, coalesce((SELECT min(j) FROM rc WHERE i = event_no), event_no)) AS case_event FROM fi",

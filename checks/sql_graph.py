@@ -1,6 +1,7 @@
 """DuckDB oracle text for paths, neighbourhoods, graph features and break-even figures."""
 
 from .sql_metrics import TEST, A, P
+from .sql_profiles import ACTIONS, LIFE, STOPPED
 
 S, DAY = 1_704_067_200_000_000, 86_400_000_000
 TRAIN = f"t_us >= {S} AND t_us < {S + 6 * DAY}"
@@ -21,6 +22,8 @@ PNA = "g AS (SELECT to_id AS account_id, count(*) AS d, avg(ln(1+amount)) AS mea
 
 SQL = {
     "downstream_paths": A("r2.0", PATHS) + "SELECT seed, path_no, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(legs, lambda x: x[2]), ',') AS rows FROM pth",
+    "downstream_paths_not_stopped": A("r2.0", ACTIONS, LIFE, STOPPED, "opn AS (SELECT * FROM pay WHERE row NOT IN (SELECT row FROM blk))", PATHS.replace("JOIN pay", "JOIN opn").replace("200", "20")).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT seed, path_no, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(legs, lambda x: x[2]), ',') AS rows, count(*) OVER (PARTITION BY seed) >= 20 AS truncated FROM pth",
     "path_summary": A("r2.0", PATHS) + """SELECT seed, reached, flagged_reached, longest, paths FROM (SELECT seed, count(DISTINCT n) AS reached, count(DISTINCT n) FILTER (n IN (SELECT account_id FROM alerts WHERE status NOT IN ('cleared', 'superseded'))) AS flagged_reached FROM (SELECT seed, unnest(nodes[2:]) AS n FROM pth) GROUP BY 1)
   JOIN (SELECT seed, CAST(max(len(legs)) AS INT) AS longest, count(*) AS paths FROM pth GROUP BY 1) USING (seed)""",
     "path_accounts_by_hop": A("r2.0", PATHS) + "SELECT seed, CAST(hop AS INT) AS hop, count(DISTINCT nodes[hop + 1]) AS accounts FROM pth, (SELECT unnest([1,2,3]) AS hop) WHERE len(nodes) > hop GROUP BY 1, 2",

@@ -70,6 +70,7 @@ run AS (SELECT account_id, CAST(0 AS BIGINT) AS k, ['', '', '', '', '', ''] AS s
       FROM run r JOIN le e ON e.account_id = r.account_id AND e.k = r.k + 1))),
 fin AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY k DESC) = 1),
 las AS (SELECT account_id, (['inflow_new_payers','structuring','fan_in_new_payers','pass_through','hop_from_flagged','model_only'])[i] AS detector, since[i] AS raised_us, st[i] AS status, filed[i] AS filed_us FROM fin, (SELECT unnest([1,2,3,4,5,6]) AS i) WHERE st[i] <> '')"""
+STOPPED = "blk AS (SELECT DISTINCT row FROM pay JOIN fin ON (fin.account_id = from_id OR fin.account_id = to_id) AND fz < t_us)"
 FANDAY = f"""px AS (SELECT *, (t_us - {S}) // {DAY} AS d0 FROM pay WHERE channel = 'P2P' AND t_us < {S + 6 * DAY} AND to_id IN (SELECT account_id FROM v_accounts WHERE kind = 'individual')),
 fd AS (SELECT a.to_id, a.d0, coalesce(n, 0) AS n FROM (SELECT DISTINCT to_id, d0 FROM px) a LEFT JOIN (SELECT to_id, d0, count(*) AS n FROM (SELECT from_id, to_id, min(d0) AS d0 FROM px GROUP BY 1, 2) WHERE d0 >= 3 GROUP BY 1, 2) b USING (to_id, d0))"""
 

@@ -110,16 +110,21 @@ def account_status(vpas: DataFrame, seen: DataFrame, alerts: DataFrame, accounts
                     F.coalesce("frozen", no).alias("frozen"), F.coalesce("live_alerts", F.lit(0)).alias("live_alerts"))
 
 
-def evidence_pack(payments: DataFrame, members: DataFrame) -> DataFrame:
-    """Per case: payments touching it, internal links, money in and money that left. `members` is (case_id, account_id)."""
+def evidence_pack(payments: DataFrame, members: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """Per case: payments touching it, internal links, money in, money that left and money that was stopped. `members` is
+    (case_id, account_id), `blocked` the rows of payments that did not go through."""
     m = members.select("case_id", "account_id").distinct()
-    x = legs(payments).join(m, "account_id")
+    p = payments.withColumn("stopped", F.lit(0)) if blocked is None else payments.join(blocked.select("row", F.lit(1).alias("stopped")).distinct(), "row", "left")
+    x = legs(p.withColumn("stopped", F.coalesce("stopped", F.lit(0))), "stopped").join(m, "account_id")
     per = x.groupBy("case_id", "row").agg(
-        F.max(F.when(F.col("dir") == "in", 1).otherwise(0)).alias("i"), F.max(F.when(F.col("dir") == "out", 1).otherwise(0)).alias("o"), F.max("amount_p").alias("amount_p"))
+        F.max(F.when(F.col("dir") == "in", 1).otherwise(0)).alias("i"), F.max(F.when(F.col("dir") == "out", 1).otherwise(0)).alias("o"), F.max("amount_p").alias("amount_p"), F.max("stopped").alias("stopped"))
+
+    def money(cond: str) -> Column:
+        return F.sum(F.when(F.expr(cond), F.col("amount_p")).otherwise(0))
+
     return per.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("transactions"), F.count(F.when((F.col("i") == 1) & (F.col("o") == 1), 1)).alias("links"),
-        F.sum(F.when((F.col("i") == 1) & (F.col("o") == 0), F.col("amount_p")).otherwise(0)).alias("money_in_p"),
-        F.sum(F.when((F.col("i") == 0) & (F.col("o") == 1), F.col("amount_p")).otherwise(0)).alias("exited_p"))
+        F.count(F.lit(1)).alias("transactions"), F.count(F.when((F.col("i") == 1) & (F.col("o") == 1), 1)).alias("links"), money("i = 1 AND o = 0 AND stopped = 0").alias("money_in_p"),
+        money("i = 0 AND o = 1 AND stopped = 0").alias("exited_p"), money("stopped = 1").alias("blocked_p"))
 
 
 def apply_actions(alerts: DataFrame, actions: DataFrame, rules: Rules = R20) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import models as Md
 from ..params import DAY, LIVE, R20
 from ..session import cut
 from ..sources import files
+from . import profile_queries
 from . import views as V
 from .account_queries import stored_alerts
 from .metric_queries import in_split
@@ -45,6 +46,13 @@ def downstream(spark, sf):
     return p.select("seed", "path_no", F.array_join("nodes", ">").alias("nodes"), F.array_join(F.transform("legs", lambda x: x.r.cast("string")), ",").alias("rows"))
 
 
+@query("downstream_paths_not_stopped")
+def downstream_open(spark, sf):
+    """The same without payments that a freeze stopped, the first 20 per account, told whether there are more."""
+    p = Gr.downstream_paths(edges(spark, sf), seeds(spark, sf), 3, 20, profile_queries.stopped_rows(spark, sf))
+    return p.select("seed", "path_no", F.array_join("nodes", ">").alias("nodes"), F.array_join(F.transform("legs", lambda x: x.r.cast("string")), ",").alias("rows"), "truncated")
+
+
 @query("path_summary")
 def summary(spark, sf):
     return Gr.path_summary(cut(paths(spark, sf)), stored_alerts(spark, sf).where(LIVE))

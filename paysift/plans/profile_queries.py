@@ -150,11 +150,11 @@ def status(spark, sf):
 
 @query("evidence_pack")
 def pack(spark, sf):
-    """Per case of escalated or frozen alerts: its payments, internal links, money in and money that left."""
+    """Per case of escalated or frozen alerts: its payments, internal links, money in, money that left, money stopped by a freeze."""
     from .decision_queries import cases
 
     m = cases(spark, sf).select(F.col("case_event").alias("case_id"), "account_id")
-    return P.evidence_pack(V.payments(spark, sf), m)
+    return P.evidence_pack(V.payments(spark, sf), m, stopped_rows(spark, sf))
 
 
 @query("evidence_timeline")
@@ -199,6 +199,13 @@ def lifecycle(spark, sf):
     return Lc.lifecycle(cut(lifecycle_events(spark, sf)))
 
 
+def stopped_rows(spark, sf) -> DataFrame:
+    """Payments from or to an account after its freeze."""
+    frozen = lifecycle(spark, sf)[2].where("frozen_us IS NOT NULL").select("account_id", "frozen_us")
+    ends = V.payments(spark, sf).select("row", "t_us", F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("account_id"))
+    return ends.join(frozen, "account_id").where("t_us > frozen_us").select("row").distinct()
+
+
 @query("alert_lifecycle")
 def alert_lifecycle(spark, sf):
     """Status of every alert and the moment it went to a case."""
