@@ -96,23 +96,27 @@ def trail(audit: DataFrame, run_id: str | None = None, account_id: str | None =
     return audit.orderBy(F.col("at_us").desc(), F.col("entry_id").desc()).limit(limit)
 
 
-def form_cases(events: DataFrame, payments: DataFrame, max_rounds: int = 60) -> DataFrame:
+def form_cases(events: DataFrame, payments: DataFrame, split: Split = SPLIT) -> DataFrame:
     """(event_no, account_id, case_event): each filed alert joins the first case that holds its account or a counterparty.
 
     `events` is (event_no, account_id, at_us), numbered in filing order. An event's case is the smallest event it reaches
     over earlier and earlier neighbouring events, so the greedy rule is a label propagation along edges that only go back
     in time; each round also jumps to the label of the label, which keeps the rounds logarithmic in the chain length.
+    An account's later event sees its own earlier ones, so its labels only fall and its last event before a moment stands
+    for all of them: an event asks each counterparty once, and a running maximum over events and asks answers.
     """
     pair = payments.select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"), "t_us").groupBy("a", "b").agg(F.min("t_us").alias("since"))
     acc = events.select("account_id").distinct()
-    both = pair.join(acc.withColumnRenamed("account_id", "a"), "a", "left_semi").join(acc.withColumnRenamed("account_id", "b"), "b", "left_semi")
-    links = both.select(F.col("a").alias("account_id"), F.col("b").alias("other"), "since").union(both.select("b", "a", "since")).union(acc.select("account_id", F.col("account_id").alias("other"), F.lit(0).cast("bigint")))
-    # an account's later event sees its own earlier ones, so its labels only fall: the last event before this one is enough
-    theirs = events.select(F.col("account_id").alias("other"), F.col("event_no").alias("back"))
-    near_in_time = events.join(links, "account_id").where("since <= at_us").join(theirs, "other").where("back < event_no")
-    back = cut(near_in_time.groupBy("event_no", "other").agg(F.max("back").alias("back")).select("event_no", "back"))
+    both = pair.where("a <> b").join(acc.withColumnRenamed("account_id", "a"), "a", "left_semi").join(acc.withColumnRenamed("account_id", "b"), "b", "left_semi")
+    links = both.select(F.col("a").alias("account_id"), F.col("b").alias("other"), "since").union(both.select("b", "a", "since"))
+    own = events.select(F.col("account_id").alias("other"), "event_no", "at_us", F.lit(0).alias("o"))
+    asks = events.join(links, "account_id").where("since <= at_us").select("other", "event_no", "at_us", F.lit(0).alias("o")).unionByName(own)
+    stream = asks.unionByName(own.withColumn("o", F.lit(1)))
+    stream = with_segment(stream, ["other"], hot_keys(stream, ["other"], split), "at_us", split)
+    known = running(stream, ["other"], ["event_no", "o"], maxes={"back": F.when(F.col("o") == 1, F.col("event_no"))})
+    back = cut(known.where("o = 0 AND back IS NOT NULL").select("event_no", "back"))
     label = cut(events.select("event_no", F.col("event_no").alias("label")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         step = back.join(label.select(F.col("event_no").alias("back"), F.col("label").alias("l")), "back").groupBy("event_no").agg(F.min("l").alias("l"))
         near = label.join(step, "event_no", "left").select("event_no", "label", F.least("label", F.coalesce("l", "label")).alias("n"))
         jump = near.join(near.select(F.col("event_no").alias("n"), F.col("n").alias("nn")), "n").select("event_no", "label", F.least("n", "nn").alias("n"))
@@ -121,4 +125,3 @@ def form_cases(events: DataFrame, payments: DataFrame, max_rounds: int = 60) ->
         label = jump.select("event_no", F.col("n").alias("label"))
         if not changed:
             return events.join(label, "event_no").select("event_no", "account_id", F.col("label").alias("case_event"))
-    raise RuntimeError("case labels did not settle")

@@ -1,10 +1,11 @@
-"""Onboarding by bitmaps and paths by an index of out-edges, against plain loops on small graphs with a hub."""
+"""Onboarding by bitmaps and paths by an index of out-edges, against plain loops on small graphs with a hub; cases by the greedy rule."""
 
 import hashlib
 import random
 
 from util import T0, frame, pay, random_rows
 
+from paysift.operators import audit as Au
 from paysift.operators import graph as Gr
 from paysift.operators import onboarding as On
 from paysift.params import Split
@@ -75,3 +76,24 @@ def test_paths_equal_depth_first(spark):
     got = same_paths(spark, rows, seeds, 3, 40)
     assert len(got["src"]) == 40 and got["src"][1][1] == [5000, 7000]
     same_paths(spark, rows, seeds[:4], Gr.MAX_HOPS, 25, blocked=(5000, 7001, *range(0, 400, 3)), split=Split(hot_rows=50))
+
+
+def test_cases_equal_the_greedy_rule(spark):
+    r = random.Random(5)
+    rows = random_rows(6, 60, 40) + [pay(900 + i, r.randrange(4 * 86400), "hub", f"A{i}", 10) for i in range(3)] + [pay(990, 3, "A7", "A7", 5)]
+    # the hub files many alerts, some at the same time
+    at = sorted(T0 + r.randrange(4 * 24) * 3_600_000_000 for _ in range(150))
+    events = [(i + 1, "hub" if r.random() < 0.4 else f"A{r.randrange(40)}", t) for i, t in enumerate(at)]
+    cases, want = [], {}
+    for no, account, t in events:
+        met = {account} | {x for p in rows if p["t_us"] <= t for x in ({p["from_id"], p["to_id"]} if account in (p["from_id"], p["to_id"]) else ())}
+        case = next((c for c in cases if c[1] & met), None)
+        if case is None:
+            case = (no, set())
+            cases.append(case)
+        case[1].add(account)
+        want[no] = case[0]
+    ev = spark.createDataFrame(events, "event_no bigint, account_id string, at_us bigint")
+    for split in (Split(), Split(hot_rows=20)):
+        assert {x["event_no"]: x["case_event"] for x in Au.form_cases(ev, frame(spark, rows), split).collect()} == want
+    assert len(set(want.values())) > 3
