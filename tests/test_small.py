@@ -232,3 +232,37 @@ def test_audit_chain_finds_the_first_change(spark):
     assert Au.verify(gone).first()["first_bad_entry"] == 21
 
 
+
+
+def _tickets(spark, n):
+    r = random.Random(3)
+    rows = [(k % 3, r.randrange(40), r.randrange(12 * DAY // 1_000_000) * 1_000_000, k, float(r.randrange(100, 900))) for k in range(n)]
+    return spark.createDataFrame(rows, "merchant_id bigint, payer_id bigint, t_us bigint, tie bigint, amount double")
+
+
+def test_placed_windows(spark):
+    """Numbers and windows of tickets, hot merchants and others, against a count ticket by ticket."""
+    p = _tickets(spark, 300)
+    m = spark.createDataFrame([(k, "c", 0) for k in range(3)], "merchant_id bigint, category string, onboarded_us bigint")
+    bars = spark.createDataFrame([("c", 1e9)], "category string, cat_p99 double")
+    rows = [tuple(x) for x in p.collect()]
+    want = {}
+    for mid, _, t, tie, a in rows:
+        mine = sorted((u, k) for q, _, u, k, _ in rows if q == mid)
+        no = mine.index((t, tie)) + 1
+        want[mid, tie] = (no, sum(u < t - 7 * DAY for u, _ in mine), no - 1, a)
+    for split in (Split(), Split(hot_rows=50)):
+        hot = Mr.hot_merchants(p, split)
+        assert (hot is None) == (split.hot_rows > 50)
+        got = Mr.placed(Mr.first_payments(p, split), m, bars, MerchantRules(), hot, split).collect()
+        assert {(x["merchant_id"], x["tie"]): (x["no"], x["lo"], x["hi"], x["top_amount"]) for x in got} == want
+
+
+def test_tickets_move_once(spark):
+    """Marking and placing the tickets of merchants that are not hot shuffles them once."""
+    p = _tickets(spark, 300).localCheckpoint()
+    m = spark.createDataFrame([(0, "c", 0)], "merchant_id bigint, category string, onboarded_us bigint")
+    bars = spark.createDataFrame([("c", 1.0)], "category string, cat_p99 double")
+    plan = Mr.placed(Mr.first_payments(p), m, bars)._jdf.queryExecution().executedPlan().toString()
+    by = [x.split("hashpartitioning(")[1] for x in plan.splitlines() if "Exchange hashpartitioning(merchant_id" in x]
+    assert any("REPARTITION" in x for x in by) and not any("payer_id" in x or "tie" in x for x in by)
