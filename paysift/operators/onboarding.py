@@ -1,38 +1,69 @@
 """Onboarding: what an applicant's settlement VPAs have to do with accounts under alert, directly and over one account between.
 
-Flagged accounts are numbered from the highest alert score down, and an account's flagged counterparties are a bitmap of
-those numbers, 4 KB per 32,768 of them. The second hop is the OR of the counterparties' bitmaps without the direct ones
-and the applicant itself, so a hub with many applicants on one side and many flagged accounts on the other is never
-written out as pairs; its lowest bit is the worst account reached.
+Flagged accounts are numbered from the highest alert score down, and an account's flagged counterparties are a set of those
+numbers, packed by the million: as steps between them where they are few, as a bitmap where they are many, so a set takes
+two bytes a member or a bit a number up to its last one, whichever is less. The second hop is the union of the counterparties' sets without
+the direct ones and the applicant itself, made set by set where all of an applicant's sets meet; so a hub with many
+applicants on one side and many flagged accounts on the other is never written out as pairs. Its lowest number is the
+worst account reached.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, spread
 from .profiles import counterparties, legs
 from .running import global_index
 
-_BITS = 8 * 4096
+_BITS = 1 << 20
+_BITMAP, _STEPS, _NUMBERS = b"\0", b"\1", b"\2"
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """A set of numbers below _BITS, given in order: the smallest of bitmap, 16-bit steps, and the numbers themselves."""
+    steps = np.diff(numbers, prepend=0)
+    narrow = steps.max(initial=0) < 1 << 16
+    if len(numbers) * (2 if narrow else 4) > numbers.max(initial=0) // 8:
+        bits = np.zeros(numbers.max(initial=0) + 1, bool)
+        bits[numbers] = True
+        return _BITMAP + np.packbits(bits).tobytes()
+    return _STEPS + steps.astype("<u2").tobytes() if narrow else _NUMBERS + numbers.astype("<u4").tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    kind = packed[:1]
+    if kind == _BITMAP:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1)))
+    return np.cumsum(np.frombuffer(packed, "<u2", offset=1), dtype=np.int64) if kind == _STEPS else np.frombuffer(packed, "<u4", offset=1)
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(numbers: pd.Series) -> pd.Series:
+    return pd.Series([pack(np.asarray(x, np.int64)) for x in numbers], dtype=object)
 
 
-@F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("first", T.IntegerType())]))
-def _left_over(reach: pd.Series, taken: pd.Series) -> pd.DataFrame:
-    """Bits of `reach` that are not in `taken`: how many, and the position of the lowest (-1: none)."""
-    n, first = np.zeros(len(reach), np.int32), np.full(len(reach), -1, np.int32)
-    for i, (r, t) in enumerate(zip(reach, taken)):
-        bits = np.frombuffer(r, np.uint8)
-        if t is not None:
-            bits = bits & ~np.frombuffer(t, np.uint8)
-        at = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
-        if len(at):
-            n[i], first[i] = len(at), at[0]
-    return pd.DataFrame({"n": n, "first": first})
+def _left_over(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Numbers in the sets of an account's counterparties that are in none of its taken sets: how many, and the lowest."""
+    reach, taken = np.zeros(_BITS, bool), []
+    for b in batches:
+        for bits, is_taken in zip(b["bits"], b["taken"]):
+            if is_taken:
+                taken.append(bits)
+            else:
+                reach[unpack(bits)] = True
+    for bits in taken:  # two at most
+        reach[unpack(bits)] = False
+    n = int(np.count_nonzero(reach))
+    if n:
+        yield pd.DataFrame({"account_id": [key[0]], "n": [n], "no": [int(key[1]) * _BITS + int(reach.argmax()) + 1]})
 
 
 def numbered_by_score(flagged: DataFrame) -> DataFrame:
@@ -50,20 +81,22 @@ def onboarding_report(applicants: DataFrame, payments: DataFrame, flagged: DataF
     num = cut(numbered_by_score(flagged))
     me = applicants.where("account_id IS NOT NULL").select("account_id").distinct()
     mine = cp.join(me, "account_id", "left_semi")
-    cell = [F.bitmap_bucket_number("no").alias("b"), F.bitmap_bit_position("no").alias("p")]
+    cell = [F.floor((F.col("no") - 1) / _BITS).alias("b"), ((F.col("no") - 1) % _BITS).cast("int").alias("p")]
     near = cp.join(num.select(F.col("account_id").alias("other_id"), "no"), "other_id").select("account_id", *cell)
-    near = cut(near.groupBy("account_id", "b").agg(F.bitmap_construct_agg("p").alias("bits")))
+    near = near.groupBy("account_id", "b").agg(F.sort_array(F.collect_list("p")).alias("ps"))  # at most _BITS numbers
+    near = cut(near.select("account_id", "b", F.size("ps").alias("n"), _packed("ps").alias("bits")))
     own = near.join(me, "account_id", "left_semi")
-    itself = num.join(me, "account_id", "left_semi").select("account_id", *cell).groupBy("account_id", "b").agg(F.bitmap_construct_agg("p").alias("bits"))
-    taken = own.unionByName(itself).groupBy("account_id", "b").agg(F.bitmap_or_agg("bits").alias("taken"))
-    reach = mine.withColumnRenamed("other_id", "via").join(near.withColumnRenamed("account_id", "via"), "via").groupBy("account_id", "b").agg(F.bitmap_or_agg("bits").alias("reach"))
-    rest = reach.join(taken, ["account_id", "b"], "left").select("account_id", "b", _left_over("reach", "taken").alias("x")).where("x.n > 0")
-    second = rest.groupBy("account_id").agg(F.sum("x.n").alias("second_hop"), F.min((F.col("b") - 1) * _BITS + F.col("x.first") + 1).alias("no"))
+    itself = num.join(me, "account_id", "left_semi").select("account_id", *cell).select("account_id", "b", _packed(F.array("p")).alias("bits"))
+    reach = mine.withColumnRenamed("other_id", "via").join(near.withColumnRenamed("account_id", "via"), "via").select("account_id", "b", "bits", F.lit(False).alias("taken"))
+    sets = reach.unionByName(own.unionByName(itself, allowMissingColumns=True).select("account_id", "b", "bits", F.lit(True).alias("taken")))
+    # every counterparty sends about one set
+    rest = spread(sets, mine.count(), "account_id", "b").groupBy("account_id", "b").applyInPandas(_left_over, "account_id string, n long, no long")
+    second = rest.groupBy("account_id").agg(F.sum("n").alias("second_hop"), F.min("no").alias("no"))
     second = cut(second.join(num.select("no", F.col("account_id").alias("second_account"), F.col("score").alias("second_score")), "no"))
     via = mine.join(second.select("account_id", "second_account"), "account_id").join(
         cp.select(F.col("account_id").alias("other_id"), F.col("other_id").alias("second_account")), ["other_id", "second_account"], "left_semi")
     via = via.groupBy("account_id").agg(F.min("other_id").alias("via"))
-    direct = own.groupBy("account_id").agg(F.sum(F.bitmap_count("bits")).alias("direct"))
+    direct = own.groupBy("account_id").agg(F.sum("n").alias("direct"))
     n = mine.groupBy("account_id").agg(F.count(F.lit(1)).alias("counterparties"))
     rows = legs(payments).join(me, "account_id", "left_semi").groupBy("account_id").agg(F.count(F.lit(1)).alias("txns"), F.max("score").alias("gnn_max"))
     x = applicants.select("vpa", "account_id").distinct()

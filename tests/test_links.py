@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from util import T0, frame, pay, random_rows
 
 from paysift.operators import audit as Au
@@ -36,6 +37,16 @@ def test_onboarding_equals_the_loop(spark):
     assert {r["decision"] for r in On.onboarding_report(spark.createDataFrame([("lonely@x", "lonely")], "vpa string, account_id string"), frame(spark, rows), empty).collect()} == {"approve"}
 
 
+def test_sets_are_packed_small(spark):
+    r = random.Random(3)
+    for numbers in ([], [0], [5], [On._BITS - 1], list(range(3000)), sorted(r.sample(range(On._BITS), 120)), [0, On._BITS - 1], sorted(r.sample(range(On._BITS), 200_000)), list(range(On._BITS))):
+        packed = On.pack(np.array(numbers, np.int64))
+        assert On.unpack(packed).tolist() == numbers
+        assert len(packed) <= min(4 * len(numbers), On._BITS // 8) + 2
+    # 120 of a million: two bytes each, where a bitmap of 4 KB per 32,768 numbers took 120 KB
+    assert len(On.pack(np.arange(120) * 8000)) == 241
+
+
 def walk(rows, seed, hops, limit):
     """Depth first over payments in (time, row) order."""
     out_edges = {}
