@@ -82,3 +82,33 @@ def test_one_alert_gathers_its_firings(spark):
     # the third payment just under the cap fires first, the fifth makes it critical; all six are evidence
     assert (s["created_row"], s["severity"], s["evidence_rows"], round(s["gnn_max"], 1)) == (2, "critical", 6, 0.5)
     assert got["inflow_new_payers"]["created_row"] == 1
+
+
+def test_rows_move_before_their_sums_are_derived(spark):
+    rows = random_rows(11, 300, 20)
+    paired = D.with_pair_history(frame(spark, rows))
+    plain, placed = (D.window_sums(paired, rows=n) for n in (None, len(rows)))
+    assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, plain.collect()))
+
+    # Spark's names for what a window sums up begin with _w
+    before_sort = [df._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(account_id")[1].split("Generate")[0] for df in (plain, placed)]
+    assert ["_w" in x for x in before_sort] == [True, False]
+    hot = D.hot_accounts(frame(spark, rows), Split(hot_rows=40))
+    a, b = (D.window_sums(paired, hot, Split(hot_rows=40), rows=n) for n in (None, len(rows)))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_rule_versions_share_the_primary_stage(spark, sf, monkeypatch):
+    from paysift.plans import account_queries as Q
+
+    ran, stage = [], A.primary_stage
+    monkeypatch.setattr(A, "primary_stage", lambda p, a, rules, split: ran.append(rules.version) or stage(p, a, rules, split))
+    monkeypatch.setattr(Q, "_STORED", {})
+    monkeypatch.setattr(Q, "_PRIMARY", {}, raising=False)
+    shared = {}
+    for r in (Rules(), Rules(version="r2.1"), Rules(version="r2.2"), Rules(hop_rule=False)):
+        shared[repr(r)] = sorted(map(tuple, Q.stored_alerts(spark, sf, r).select(*Q.OUT).collect()), key=repr)
+    assert ran == ["r2.0", "r2.1"]
+    assert len({len(x) for x in shared.values()}) > 1
+    own = Q.alert_table(spark, sf, Rules(version="r2.2")).select(*Q.OUT).collect()
+    assert shared[repr(Rules(version="r2.2"))] == sorted(map(tuple, own), key=repr)
