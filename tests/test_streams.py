@@ -1,6 +1,6 @@
 """Streams by micro-batches: repeated batches, late payments, lines that hold no payment."""
 
-from util import T0, frame, pay, people
+from util import T0, frame, pay, people, random_rows
 
 from paysift.functions.registry_text import address_key
 from paysift.functions.scalars import iso_time
@@ -97,6 +97,51 @@ def test_context_has_no_cap_unless_asked(spark):
     assert (full, capped) == (12, 4)
 
 
+def _context_by_hand(rows):
+    """(edges, ids added up, least, greatest) of each row id's two-hop context."""
+    width, window = 5_000_000, 72 * 3600 * 1_000_000
+    now, out = {}, {}
+    for r in rows:
+        now[r["t_us"] // width] = max(now.get(r["t_us"] // width, 0), r["t_us"])
+    for r in rows:
+        at = now[r["t_us"] // width]
+        inside = [x for x in rows if at - window <= x["t_us"] <= at]
+        nodes = {r["from_id"], r["to_id"]}
+        nodes |= {x["from_id"] for x in inside if x["to_id"] in nodes}
+        out.setdefault(r["row"], set()).update(x["row"] for x in inside if x["to_id"] in nodes)
+    return {k: (len(v), sum(v), min(v), max(v)) for k, v in out.items() if v}
+
+
+def test_context_sums_do_not_list_and_count_each_edge_once(spark):
+    from paysift.operators import graph
+
+    rows = [r | {"t_us": r["t_us"] // 4_000_000 * 4_000_000} for r in random_rows(11, 220, 14, days=6)]
+    twice = [*rows, *rows[:30], rows[5] | {"to_id": "A9"}, rows[7] | {"t_us": rows[90]["t_us"]}, rows[8] | {"from_id": "A3", "to_id": "A0"}]
+    for some in (rows, twice):
+        df = graph.context_edges(frame(spark, some), summed=True)
+        got = {r["row"]: (r["edges"], r["ctx_sum"], r["ctx_min"], r["ctx_max"]) for r in df.collect()}
+        assert got == _context_by_hand(some)
+    capped = graph.context_edges(frame(spark, rows), max_fanin=4, summed=True).agg({"edges": "sum"}).first()[0]
+    assert capped == graph.context_edges(frame(spark, rows), max_fanin=4).count()
+
+
+def test_context_asks_meet_a_node_over_many_batches(spark):
+    """In-edges of a node that is still open are kept for the asks of the next batch."""
+    import pyarrow as pa
+
+    from paysift.operators.graph import DAY, _answers
+
+    known = [(1, 0, 0, t, None, 10 * t, False) for t in range(5)] + [(2, 0, 0, t, None, t, t == 3) for t in range(7)]
+    asks = [(2, 0, 1, 5 + DAY, i, None, i == 2) for i in range(4)] + [(2, 0, 1, 4, 9, None, False)]
+    names = ["node", "day", "kind", "rel", "row", "value", "flag"]
+    table = pa.table({n: pa.array([r[i] for r in known + asks], pa.bool_() if n == "flag" else pa.int64()) for i, n in enumerate(names)})
+    for size in (3, 100):
+        out = pa.Table.from_batches(list(_answers(iter(table.to_batches(size)), 2 * DAY, True))).to_pylist()
+        sums = sorted((r["row"], r["n"], r["total"], r["low"], r["high"]) for r in out if r["n"])
+        assert sums == [(0, 2, 11, 5, 6), (1, 2, 11, 5, 6), (3, 2, 11, 5, 6), (9, 4, 7, 0, 4)]
+        assert sorted((r["row"], r["list"]) for r in out if r["list"]) == [(2, [5, 6]), (9, [3])]
+
+
 def test_settlement_timers_hold_and_take_late_payments(spark, tmp_path):
     """A payment known only after its batch waits for the next one; a hold over two batches keeps all money back."""
     from paysift.params import DAY, HOUR
