@@ -382,6 +382,40 @@ def test_attention_scores(docs, rows, nothing):
     assert attention_lm.score_texts(nothing, learn, vocabulary("word_bpe_49k.json"), steps=1).count() == 0
 
 
+def test_attention_learns_from_every_training_row(spark, monkeypatch):
+    """Ids of all training documents reach classes, direct path and weights; of others none."""
+    seen = []
+    start, real = attention_lm.AttentionModel.begin, attention_lm.learn_from_all
+    monkeypatch.setattr(attention_lm.AttentionModel, "begin", lambda self, n, *a: (seen.append(n.sum()), start(self, n, *a))[1])
+
+    def learn_from_all(rows, model, **settings):
+        before = {k: v.copy() for k, v in model.p.items()}
+        real(rows, model, **settings)
+        seen.append(any((before[k] != model.p[k]).any() for k in before))
+
+    monkeypatch.setattr(attention_lm, "learn_from_all", learn_from_all)
+    monkeypatch.setattr(attention_lm, "PASSES", 1)
+    # more documents than the sample there was, the rare word only in the last
+    rows = [(i, "one two three") for i in range(1800)] + [(1800, "zebra " * 50)] + [(-1, "zebra " * 9)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = attention_lm.score_texts(df, F.col("doc_id") >= 0, vocabulary("word_bpe_49k.json"), block_bytes=4000).collect()
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    assert seen == [sum(len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows if i >= 0), True]
+    assert len(got) == len(rows) and all(r.score < 0 for r in got)
+
+
+def test_attention_goes_once_through_all_windows():
+    counts = np.arange(1.0, 301)
+    r = np.random.default_rng(1)
+    blocks = [[r.integers(1, 300, n) for n in (700, 3, 90)], [], [r.integers(1, 300, 45)]]
+    model = attention_lm.AttentionModel(attention_lm.group_ids(blocks[0], counts), counts)
+    first = model.p["q"].copy()
+    assert model.learn(blocks, rows=8) == 838 and (model.p["q"] != first).any()
+    assert model.learn(blocks, rows=8, steps=2) < 838 and model.learn([]) == 0
+
+
 def test_language_gradient():
     net = language.ByteNetwork(["a", "b", "c"])
     net.p = {k: v.astype("float64") for k, v in net.p.items()}
