@@ -175,6 +175,30 @@ def test_second_layer_corrections_are_linear_in_a_hub(spark):
             assert Md.refresh_points(e, asked, 72 * 3600, split=Split(hot_rows=20)).count() <= most * n
 
 
+def test_scoring_in_time_writes_no_more_rows_than_asks(spark, monkeypatch):
+    """Messages, many per edge, go from the sources to the receivers without being written or moved by their edge."""
+    r = random.Random(4)
+    rows = [(i, T0 + i * 600_000_000, f"n{r.randrange(5)}", f"n{r.randrange(5)}", [r.random() for _ in range(3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "row int, t_us bigint, from_id string, to_id string, features array<double>")
+    w = Md.load_weights(Md.weights_table(spark))
+    written, cut = [], Md.cut
+
+    def counted(table):
+        out = cut(table)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Md, "cut", counted)
+    alone = [{x["row"]: x["probability"] for x in Md.score_edges_in_time(df, w, refresh_s=s).collect()} for s in (None, 7200)]
+    assert max(written) <= 2 * len(rows)
+    once = len(written)
+    exact, cached = Md.score_edges_both(df, w, 7200)
+    assert len(written) - once < once
+    for got, want in zip((exact, cached), alone, strict=True):
+        assert {x["row"]: x["probability"] for x in got.collect()} == pytest.approx(want, abs=1e-12)
+    assert alone[0] != pytest.approx(alone[1], abs=1e-6)
+
+
 def test_cached_scores_use_the_last_refresh(spark):
     r = random.Random(8)
     day = 86_400
