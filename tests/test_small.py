@@ -199,6 +199,16 @@ def test_scoring_in_time_writes_no_more_rows_than_asks(spark, monkeypatch):
     assert alone[0] != pytest.approx(alone[1], abs=1e-6)
 
 
+def test_scoring_in_time_with_a_null_feature(spark):
+    """An edge without a feature sends nothing: the others are scored as if it were not there."""
+    r = random.Random(6)
+    rows = [(i, T0 + i * 600_000_000, f"n{i % 3}", f"n{(i * 2 + 1) % 3}", [r.random() if i != 4 else None for _ in range(3)]) for i in range(12)]
+    kind = "row int, t_us bigint, from_id string, to_id string, features array<double>"
+    w = Md.load_weights(Md.weights_table(spark))
+    got, want = ({x["row"]: x["probability"] for x in Md.score_edges_in_time(spark.createDataFrame(part, kind), w).collect()} for part in (rows, [x for x in rows if x[0] != 4]))
+    assert {k: v for k, v in got.items() if k != 4} == pytest.approx(want, abs=1e-9)
+
+
 def test_cached_scores_use_the_last_refresh(spark):
     r = random.Random(8)
     day = 86_400
