@@ -89,6 +89,16 @@ def test_paths_equal_depth_first(spark):
     same_paths(spark, rows, seeds[:4], Gr.MAX_HOPS, 25, blocked=(5000, 7001, *range(0, 400, 3)), split=Split(hot_rows=50))
 
 
+def test_asked_edges_do_not_go_to_the_driver(spark, monkeypatch):
+    rows = random_rows(8, 400, 25)
+    plans, cut = [], Gr.cut
+    monkeypatch.setattr(Gr, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    monkeypatch.setattr(Gr, "FEW_ROWS", 0, raising=False)
+    same_paths(spark, rows, ["A0", "A3", "A9"], 2, 40)
+    reads = [p for p in plans if "explode(sequence(" in p]
+    assert reads and not any("Broadcast" in p for p in reads)
+
+
 def test_cases_equal_the_greedy_rule(spark):
     r = random.Random(5)
     rows = random_rows(6, 60, 40) + [pay(900 + i, r.randrange(4 * 86400), "hub", f"A{i}", 10) for i in range(3)] + [pay(990, 3, "A7", "A7", 5)]
