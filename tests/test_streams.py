@@ -172,6 +172,41 @@ def test_settlement_timers_hold_and_take_late_payments(spark, tmp_path):
         ]
 
 
+def test_settlement_calls_the_state_once_per_group(spark):
+    import pandas as pd
+
+    from paysift.params import DAY, HOUR, P10
+    from paysift.streaming import settlement
+
+    calls, state, timers = [], [], []
+
+    class Value:
+        exists = lambda self: bool(state)
+        get = lambda self: calls.append("get") or state[-1]
+        update = lambda self, v: calls.append("update") or state.append(v)
+
+    class Handle:
+        getValueState = lambda self, name, schema: Value()
+        getMapState = lambda self, *a: (_ for _ in ()).throw(AssertionError("a state of its own per merchant"))
+        registerTimer = lambda self, ms: timers.append(ms)
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: (T0 + 3 * DAY + 7 * HOUR) // 1000
+
+    names = [c.split(" ")[0] for c in settlement._COMBINED.split(", ")]
+    rows = [(m, "pay", T0 + b * DAY, b, 2, 10 * m, m, 0) for m in range(1, 200) for b in (2, 3, 5)] + [(7, "hold", T0, 0, 0, 0, 0, T0 + 4 * DAY)]
+    s = settlement.Settlement(T0, P10)
+    s.init(Handle())
+    for part in (rows[:300], rows[300:]):
+        list(s.handleInputRows((0,), iter([pd.DataFrame(part, columns=names)]), None))
+    log = pd.concat(list(s.handleExpiredTimer((0,), Clock(), None)))
+    assert len(log) == 2 * 199 and log["held"].sum() == 2 and log["payments"].sum() == 2 * 2 * 199 + 2
+    # what a hold keeps back is due in the batch after the last one that was run
+    due, *_, timer = s._load()
+    assert (due[7, 4], due[7, 5], due[8, 5]) == ((4, 140, 14), (2, 70, 7), (2, 80, 8)) and timer == 4
+    assert len(calls) <= 8 and len(timers) == 2
+
+
 def test_d1_on_a_stream_equals_the_batch_detector(spark, tmp_path):
     import random
 
