@@ -199,6 +199,32 @@ def test_scoring_in_time_writes_no_more_rows_than_asks(spark, monkeypatch):
     assert alone[0] != pytest.approx(alone[1], abs=1e-6)
 
 
+def test_scoring_in_time_by_slices_of_receivers(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, T0 + i * 600_000_000, f"n{r.randrange(9)}", f"n{r.randrange(9)}", [r.random() for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "row int, t_us bigint, from_id string, to_id string, features array<double>")
+    w = Md.load_weights(Md.weights_table(spark))
+    most, layer = [], Md._second_layer
+    monkeypatch.setattr(Md, "_second_layer", lambda seen, *a: most.append(seen[0].count()) or layer(seen, *a))
+    scores = []
+    for at_once, refresh in ((1000, None), (30, None), (1000, 7200), (45, 7200)):
+        monkeypatch.setattr(Md, "EDGES_A_SLICE", at_once, raising=False)
+        most.clear()
+        scores.append({x["row"]: x["probability"] for x in Md.score_edges_in_time(df, w, refresh_s=refresh).collect()})
+        assert sum(most) == 90 and len(most) == max(1, 90 // at_once)
+    assert scores[1] == pytest.approx(scores[0], abs=1e-12) and scores[3] == pytest.approx(scores[2], abs=1e-12)
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark, tmp_path):
+    from paysift.session import cut, prepare
+
+    df = prepare(spark).range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    kept = lambda: set(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = len([f for f in kept() if "shuffle_" in f.getName()])
+    assert cut(df).count() == 7
+    assert len([f for f in kept() if "shuffle_" in f.getName()]) <= before
+
+
 def test_scoring_in_time_with_a_null_feature(spark):
     """An edge without a feature sends nothing: the others are scored as if it were not there."""
     r = random.Random(6)
