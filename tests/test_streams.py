@@ -125,6 +125,19 @@ def test_context_sums_do_not_list_and_count_each_edge_once(spark):
     assert capped == graph.context_edges(frame(spark, rows), max_fanin=4).count()
 
 
+def test_context_sums_by_slices_of_payments(spark, monkeypatch):
+    from paysift.operators import graph
+
+    rows = random_rows(5, 120, 9)
+    rows += [dict(rows[3]), {**rows[4], "from_id": "A8", "to_id": "A1"}, {**rows[5], "row": None}, {**rows[6], "row": None}]
+    once, sums = [], lambda: sorted(tuple(-1 if x is None else x for x in r) for r in graph.context_edges(frame(spark, rows), summed=True).collect())
+    want = sums()
+    monkeypatch.setattr(graph, "ASKS_A_SLICE", 500, raising=False)
+    tables = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: once.append("ctx_sum" in df.columns) or tables(df))
+    assert sums() == want and sum(once) > 1
+
+
 def test_context_asks_meet_a_node_over_many_batches(spark):
     """In-edges of a node that is still open are kept for the asks of the next batch."""
     import pyarrow as pa
